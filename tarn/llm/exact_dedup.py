@@ -101,7 +101,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         )
         groups = cut(groups.where("reps > 1").drop("reps"), "exact-groups")
         ended = F.col("child").isNull() | (F.octet_length("digit") < width)
-        state = keyed.join(groups, ["node", "digit"], "left").select(
+        state = keyed.join(groups.hint("merge"), ["node", "digit"], "left").select(
             "rep", F.coalesce("child", "rep").alias("node"), F.when(~ended, F.col("rest")).alias("rest"), "best",
             "n", F.coalesce("of_all", "best").alias("of_all"), F.coalesce("total", "n").alias("total"), ended.cast("int").alias("ended"),
         )

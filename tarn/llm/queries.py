@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, sentencepiece_codec, topk
+from . import exact_dedup, language_id, mixing, sentencepiece_codec, topk, toxicity
 from .common import held_out, table
 
 
@@ -30,6 +30,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out())
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return toxicity.tag(docs, field).select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"), "begins", "ends")
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
 
@@ -44,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_topk": op7_topk,
     "op9_language_id": op9_language_id,
 }
