@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, sentencepiece_codec, topk, toxicity
+from . import exact_dedup, language_id, mixing, near_dedup, sentencepiece_codec, topk, toxicity
 from .common import held_out, table
 
 
@@ -47,6 +47,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_mixing": op4_mixing,
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_topk": op7_topk,
     "op9_language_id": op9_language_id,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -77,4 +82,23 @@ ORACLE_SQL: dict[str, str] = {
         WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER best <= 5
     """,
+    "op10_near_dedup": r"""
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+            FROM docs
+        ), items AS (SELECT doc_id, unnest(s) AS g FROM sets),
+        shared AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT x, y FROM shared JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y
+            WHERE 100 * n >= 85 * (len(a.s) + len(b.s) - n)
+        ), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT r.x, l.y FROM reach r JOIN both_ways l ON l.x = r.y),
+        least_of AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+        SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least_of ON x = doc_id
+    """,
 }
