@@ -301,15 +301,15 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(_encoder(model_path), "doc_id long, n_tokens long, ids array<int>, begins array<long>, ends array<long>, decoded string")
 
 
-def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and spans_sha256 of what ``encode`` returns."""
+def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and spans_sha256 of what ``encode`` returns, and the ids if asked for."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_digester(model_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    return rows.mapInArrow(_digester(model_path, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string" + ", ids array<int>" * with_ids)
 
 
-def _digester(path: str):
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+def _digester(path: str, with_ids: bool):
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"] + ["ids"] * with_ids
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -317,7 +317,7 @@ def _digester(path: str):
             rows = []
             for key, text, own_ids in zip(keys, texts, ids, strict=True):
                 places = np.stack(own.spans(text, own_ids), 1).astype("<i8").tobytes()
-                rows.append((key, len(own_ids), *(hashlib.sha256(x).hexdigest() for x in (own_ids.tobytes(), own.decode(own_ids).encode(), places))))
+                rows.append((key, len(own_ids), *(hashlib.sha256(x).hexdigest() for x in (own_ids.tobytes(), own.decode(own_ids).encode(), places)), *[own_ids.astype(np.int32)] * with_ids))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run

@@ -255,42 +255,69 @@ def tag(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "
     kinds = [pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        known: dict[str, float] = {}
-
-        def tagged(texts: list[str]):
-            words = [WORD.findall(t.lower()) for t in texts]
-            coded = pa.array([w for doc in words for w in doc], pa.string()).dictionary_encode()
-            table = []
-            for w in coded.dictionary.to_pylist():
-                if w not in known:
-                    if len(known) > CACHE_WORDS:
-                        known.clear()
-                    known[w] = own.unary(w)
-                table.append(known[w])
-            flat = np.array(table or [0.0])[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0)
-            unary = np.split(flat, np.cumsum([len(w) for w in words])[:-1])
-            for text, found in zip(texts, marginals(unary, own.arcs), strict=True):
-                hits = np.flatnonzero(found >= 0.5)
-                places = _places(text, hits) if len(hits) else []
-                yield own.score(found), [b for b, _ in places], [e for _, e in places], found[hits]
-
+        scorer = _Scorer(shared.value)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                end, held = at + 1, len(texts[at])
-                while end < len(texts) and held + len(texts[end]) <= BATCH_CHARS:
-                    held += len(texts[end])
-                    end += 1
-                columns = [ids[at:end], *zip(*tagged(texts[at:end]), strict=True)]
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at, end in _pieces(texts):
+                columns = [ids[at:end], *zip(*scorer(texts[at:end]), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "score", "begins", "ends", "marginals"])
-                at = end
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, begins array<long>, ends array<long>, marginals array<double>")
 
 
+def keep(docs: DataFrame, field: Field, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(shared.value)
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            for at, end in _pieces(texts):
+                yield batch.slice(at, end - at).filter(pa.array([row[0] < threshold for row in scorer(texts[at:end])], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _pieces(texts: list) -> Iterator[tuple[int, int]]:
+    at = 0
+    while at < len(texts):
+        end, held = at + 1, len(texts[at] or "")
+        while end < len(texts) and held + len(texts[end] or "") <= BATCH_CHARS:
+            held += len(texts[end] or "")
+            end += 1
+        yield at, end
+        at = end
+
+
+class _Scorer:
+    """Scores, places of offending words and their marginals, a batch of texts at a time."""
+
+    def __init__(self, field: Field):
+        self.field = field
+        self.known: dict[str, float] = {}
+
+    def __call__(self, texts: list[str | None]):
+        texts = [t or "" for t in texts]
+        words = [WORD.findall(t.lower()) for t in texts]
+        coded = pa.array([w for doc in words for w in doc], pa.string()).dictionary_encode()
+        table = []
+        for w in coded.dictionary.to_pylist():
+            if w not in self.known:
+                if len(self.known) > CACHE_WORDS:
+                    self.known.clear()
+                self.known[w] = self.field.unary(w)
+            table.append(self.known[w])
+        flat = np.array(table)[coded.indices.to_numpy(zero_copy_only=False)] if table else np.zeros(0)
+        unary = np.split(flat, np.cumsum([len(w) for w in words])[:-1])
+        for text, found in zip(texts, marginals(unary, self.field.arcs), strict=True):
+            hits = np.flatnonzero(found >= 0.5)
+            places = _places(text, hits) if len(hits) else []
+            yield self.field.score(found), [b for b, _ in places], [e for _, e in places], found[hits]
+
+
 def _places(text: str, hits: np.ndarray) -> list[tuple[int, int]]:
     """Where the words of these numbers stand; words are found in lower case, so each is found again in the text."""
     wanted = set(hits.tolist())
