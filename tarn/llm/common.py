@@ -58,6 +58,17 @@ def _drop_created() -> None:
 atexit.register(_drop_created)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each behind as many underscores as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def crc_part(id_col: str = "doc_id"):
     """crc32 of an id as text, modulo 4: the fold that training must not see is 2."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4

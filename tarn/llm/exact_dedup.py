@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 FIRST_DIGIT = 32
 GROWTH = 16
@@ -123,7 +123,8 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of repeated rows of a kept document one stays."""
-    kept = exact_classes(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    rows = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    same = rows[id_col].eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")
+    own, kept_id, kept_sha = fresh(docs, "_sha", "_kept_id", "_kept_sha")
+    kept = exact_classes(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
+    rows = docs.withColumn(own, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    same = rows[id_col].eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_sha))
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, own]).drop(own)

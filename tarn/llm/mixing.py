@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 WEIGHTS = (3, 1, 2)
 EPOCHS = Fraction(3, 2)
@@ -144,15 +144,18 @@ def _first_words(text: pd.Series, n: pd.Series) -> pd.Series:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The mixture itself: whole copies of the documents, and for a part of one its first words; all columns are kept."""
-    taken = plan(docs, id_col, text_col, source_col, seed).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    taken = taken.dropDuplicates(["_id", "_size"])
+    own, own_size, own_taken, part = fresh(docs, "_id", "_size", "_taken", "_part")
+    taken = plan(docs, id_col, text_col, source_col, seed).where("taken > 0").select(F.col("doc_id").alias(own), F.col("size").alias(own_size), F.col("taken").alias(own_taken))
+    taken = taken.dropDuplicates([own, own_size])
     size = F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long")
-    rows = docs.join(taken, docs[id_col].eqNullSafe(F.col("_id")) & (size == F.col("_size")))
-    whole = F.expr("transform(sequence(1, cast(_taken div _size as int)), x -> 0L)")
-    copies = F.concat(F.when(F.col("_taken") >= F.col("_size"), whole).otherwise(F.expr("cast(array() as array<bigint>)")), F.when(F.col("_taken") % F.col("_size") > 0, F.array(F.col("_taken") % F.col("_size"))).otherwise(F.expr("cast(array() as array<bigint>)")))
-    rows = rows.withColumn("_part", F.explode(copies))
+    rows = docs.join(taken, docs[id_col].eqNullSafe(F.col(own)) & (size == F.col(own_size)))
+    whole = F.expr(f"transform(sequence(1, cast({own_taken} div {own_size} as int)), x -> 0L)")
+    none, rest = F.expr("cast(array() as array<bigint>)"), F.col(own_taken) % F.col(own_size)
+    copies = F.concat(F.when(F.col(own_taken) >= F.col(own_size), whole).otherwise(none), F.when(rest > 0, F.array(rest)).otherwise(none))
+    rows = rows.withColumn(part, F.explode(copies))
     first = F.pandas_udf(_first_words, "string")
-    rows = rows.withColumn(text_col, F.when(F.col("_part") > 0, first(F.col(text_col), F.col("_part"))).otherwise(F.col(text_col)))
+    cut_text = F.when(F.col(part) > 0, first(F.col(text_col), F.col(part))).otherwise(F.col(text_col))
+    rows = rows.withColumn(text_col, cut_text)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_part") > 0, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col(part) > 0, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

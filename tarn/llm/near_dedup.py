@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 from .components import components
 from .shingles import mix, sets
 
@@ -146,6 +146,10 @@ def _verify(percent: int):
 
 def near_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    return _classes(docs, percent, id_col, text_col).drop("key")
+
+
+def _classes(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     signed = rows.mapInArrow(_sign, "doc_id long, key long, n_shingles long, digest binary, bands array<long>")
     signed = cut(signed.withColumn("row", F.monotonically_increasing_id()), "near-signed")
@@ -171,12 +175,15 @@ def near_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
     found = components(cut(links.distinct(), "near-links"), values)
     named = classes.select("digest", "cid", "low").join(found, F.col("cid") == F.col("node"), "left")
     named = cut(named.select("digest", F.when(F.col("node").isNull(), F.col("low")).otherwise(F.col("label.low")).alias("component_id")), "near-named")
-    out = signed.select("doc_id", "n_shingles", "digest").join(named.hint("merge"), "digest", "left")
+    out = signed.select("doc_id", "key", "n_shingles", "digest").join(named.hint("merge"), "digest", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, with all their columns."""
-    kept = near_classes(docs, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])
+    """The rows of ``docs`` that stay, one of each component, with all their columns; of rows without an id only equal texts go."""
+    own, kept_id, kept_key = fresh(docs, "_key", "_kept_id", "_kept_key")
+    kept = _classes(docs, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id), F.col("key").alias(kept_key))
+    rows = docs.withColumn(own, F.xxhash64(F.col(text_col)))
+    same = rows[id_col].eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_key))
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, own]).drop(own)
