@@ -1,8 +1,8 @@
 """A Spark data source for single-file databases in the SQLite 3 format.
 
-``spark.read.format("sqlite_file").options(path=..., table=...)`` reads one table. Each
-child of the table's root page is a partition, and its pages are read only when its task
-runs. Options: ``mode`` is ``strict`` (a value that does not fit its column's class raises) or ``dynamic``
+``spark.read.format("sqlite_file").options(path=..., table=...)`` reads one table. Subtrees
+of the table's tree are partitions (at least SPLITS, if there are as many), and their pages are read only when a task
+runs. ``rowid_from`` and ``rowid_to`` (both inclusive) read a range of rowids and no subtree outside of it. Options: ``mode`` is ``strict`` (a value that does not fit its column's class raises) or ``dynamic``
 (every column is a struct of tag, i, d, t and b that orders by class, then value); ``rowid`` = ``true`` adds
 ``_rowid``. A path may be a URI of a file system that pyarrow knows.
 
@@ -25,6 +25,8 @@ from ..functions.classes import SPARK_TYPES, StorageClass, affinity
 
 MAGIC = b"SQLite format 3\x00"
 LEAF, INTERIOR = 0x0D, 0x05
+ROWID_MIN, ROWID_MAX = -(2**63), 2**63 - 1
+SPLITS = 64
 DYNAMIC = T.StructType([T.StructField("tag", T.ByteType()), T.StructField("i", T.LongType()), T.StructField("d", T.DoubleType()), T.StructField("t", T.StringType()), T.StructField("b", T.BinaryType())])
 
 
@@ -43,6 +45,20 @@ def varint(data: bytes, at: int) -> tuple[int, int]:
     raise AssertionError
 
 
+def signed(value: int) -> int:
+    """A rowid from its 64 bits."""
+    return value - (value >> 63 << 64)
+
+
+@dataclass(frozen=True)
+class Split(InputPartition):
+    """A subtree and the rowids that it may hold."""
+
+    page: int
+    low: int
+    high: int
+
+
 @dataclass(frozen=True)
 class Header:
     page_size: int
@@ -119,10 +135,28 @@ class Pages:
         right = struct.unpack_from(">I", data, at + 8)[0] if kind == INTERIOR else 0
         return kind, data, places, right
 
-    def children(self, number: int) -> list[int]:
-        """Child pages of an interior page, in order; none of a leaf."""
+    def children(self, number: int) -> list[tuple[int, int]]:
+        """(page, largest rowid) of an interior page's children, in order; none of a leaf."""
         kind, data, places, right = self.cells(number)
-        return [struct.unpack_from(">I", data, p)[0] for p in places] + [right] if kind == INTERIOR else []
+        if kind != INTERIOR:
+            return []
+        below = [(struct.unpack_from(">I", data, p)[0], signed(varint(data, p + 4)[0])) for p in places]
+        return [*below, (right, ROWID_MAX)]
+
+    def splits(self, root: int, want: int = SPLITS) -> list[Split]:
+        """Subtrees that cover a tree, with their ranges of rowids; at least ``want`` if the tree has as many pages below one level."""
+        out = [Split(root, ROWID_MIN, ROWID_MAX)]
+        while len(out) < want:
+            deeper = []
+            for s in out:
+                low, children = s.low, self.children(s.page)
+                if not children:
+                    return out
+                for page, high in children:
+                    deeper.append(Split(page, low, min(high, s.high)))
+                    low = min(high, ROWID_MAX - 1) + 1
+            out = deeper
+        return out
 
     def rows(self, root: int, depth: int = 0) -> Iterator[tuple[int, list]]:
         """(rowid, values) of a tree in order of rowid."""
@@ -130,13 +164,13 @@ class Pages:
             raise FileFormatError("a tree that contains itself")
         kind, data, places, _ = self.cells(root)
         if kind == INTERIOR:
-            for child in self.children(root):
+            for child, _ in self.children(root):
                 yield from self.rows(child, depth + 1)
             return
         for place in places:
             size, at = varint(data, place)
             rowid, at = varint(data, at)
-            yield rowid - (rowid >> 63 << 64), record(self._payload(data, at, size))
+            yield signed(rowid), record(self._payload(data, at, size))
 
     def _payload(self, data: bytes, at: int, size: int) -> bytes:
         usable = self.header.usable
@@ -272,36 +306,40 @@ class SqliteFileSource(DataSource):
     def name(cls) -> str:
         return "sqlite_file"
 
-    def _table(self) -> tuple[int, list[Column], list[int]]:
+    def _table(self) -> tuple[list[Column], list[Split]]:
         with Pages(self.options["path"]) as pages:
             for name, root, sql in master(pages):
                 if name.lower() == self.options["table"].lower():
-                    return root, parse_ddl(sql), pages.children(root) or [root]
+                    return parse_ddl(sql), pages.splits(root)
         raise FileFormatError(f"no table named {self.options['table']!r}")
 
     def schema(self) -> T.StructType:
         dynamic = self.options.get("mode", "strict") == "dynamic"
-        fields = [T.StructField(c.name, DYNAMIC if dynamic else SPARK_TYPES[affinity(c.type_name or "BLOB")]) for c in self._table()[1]]
+        fields = [T.StructField(c.name, DYNAMIC if dynamic else SPARK_TYPES[affinity(c.type_name or "BLOB")]) for c in self._table()[0]]
         if self.options.get("rowid", "false").lower() == "true":
             fields.append(T.StructField("_rowid", T.LongType()))
         return T.StructType(fields)
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        _, columns, children = self._table()
-        return _Reader(self.options["path"], columns, children, self.options.get("mode", "strict") == "dynamic", len(schema.fields) > len(columns))
+        columns, splits = self._table()
+        low, high = int(self.options.get("rowid_from", ROWID_MIN)), int(self.options.get("rowid_to", ROWID_MAX))
+        splits = [Split(s.page, max(low, s.low), min(high, s.high)) for s in splits if s.low <= high and s.high >= low]
+        return _Reader(self.options["path"], columns, splits, self.options.get("mode", "strict") == "dynamic", len(schema.fields) > len(columns))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, columns: list[Column], children: list[int], dynamic: bool, rowid: bool):
-        self.path, self.columns, self.children, self.dynamic, self.rowid = path, columns, children, dynamic, rowid
+    def __init__(self, path: str, columns: list[Column], splits: list[Split], dynamic: bool, rowid: bool):
+        self.path, self.columns, self.splits, self.dynamic, self.rowid = path, columns, splits, dynamic, rowid
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(child) for child in self.children]
+        return list(self.splits)
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         classes = [affinity(c.type_name or "BLOB") for c in self.columns]
         with Pages(self.path) as pages:
-            for rowid, values in pages.rows(partition.value):
+            for rowid, values in pages.rows(partition.page) if partition else ():
+                if not partition.low <= rowid <= partition.high:
+                    continue
                 values += [None] * (len(self.columns) - len(values))
                 row = [rowid if c.is_rowid and v is None else v for c, v in zip(self.columns, values, strict=False)]
                 out = [_tagged(v) for v in row] if self.dynamic else [_fit(v, cls, c) for v, cls, c in zip(row, classes, self.columns, strict=True)]

@@ -39,6 +39,22 @@ def test_tree_partitions_and_rowid(spark, tmp_path):
     assert engine.execute("SELECT name FROM t WHERE id = 70").collect()[0].name == "name 10"
 
 
+def test_rowid_ranges(spark, tmp_path):
+    rows = [(3 * i - 6000, "x" * 50) for i in range(4000)]
+    path = database(tmp_path / "p.db", "CREATE TABLE p (id INTEGER PRIMARY KEY, t TEXT)", page_size=512, many=[("INSERT INTO p VALUES (?,?)", rows)])
+    with Pages(path) as pages:
+        splits = pages.splits(2)
+        assert len(splits) >= 64 and splits[0].low == -(2**63) and splits[-1].high == 2**63 - 1
+        for s in splits[::7]:
+            assert all(s.low <= rowid <= s.high for rowid, _ in pages.rows(s.page))
+        assert all(a.high + 1 == b.low for a, b in zip(splits, splits[1:]))
+    whole = Engine(spark).open_file(path).catalog.table("p").rdd.getNumPartitions()
+    for low, high in ((300, 300), (-(10**9), -5900), (5000, 5010), (100_000, 200_000)):
+        df = Engine(spark).open_file(path, rowid_from=low, rowid_to=high).catalog.table("p")
+        assert sorted(r.id for r in df.collect()) == [i for i, _ in rows if low <= i <= high]
+        assert df.rdd.getNumPartitions() < whole / 4
+
+
 def test_foreign_schemas(spark, tmp_path):
     path = database(
         tmp_path / "f.db", "CREATE TABLE \"odd name\" (\"a b\" INTEGER, [c] VARCHAR(9) DEFAULT 'x, y', d, e INT CHECK (e > 0), UNIQUE (c), CONSTRAINT k PRIMARY KEY (\"a b\"))",
