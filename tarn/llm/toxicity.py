@@ -41,6 +41,7 @@ MIN_RATIO = 15.0
 HITS = 3
 PREFIXES = (4, 5, 6)
 SEGMENT = 64
+LONG = 4096
 STEPS = 40
 TOP = 3
 THRESHOLD = 0.3
@@ -94,7 +95,45 @@ def toxic_features(docs: list[list[str]], labels: list[int]) -> set[str]:
 
 def marginals(unary: list[np.ndarray], arcs: np.ndarray) -> list[np.ndarray]:
     """Per sequence the marginals of the toxic state; unary holds log odds, arcs the log weights from state to state."""
-    return _forward_backward(unary, arcs)[0]
+    out: list = [None] * len(unary)
+    short = [i for i, u in enumerate(unary) if len(u) <= LONG]
+    for i, found in zip(short, _forward_backward([unary[i] for i in short], arcs)[0], strict=True):
+        out[i] = found
+    for i in (i for i, found in enumerate(out) if found is None):
+        w = np.exp(np.clip(unary[i], -30, 30))
+        ahead, back = _filtered(w, np.exp(arcs)), _filtered(w[::-1], np.exp(arcs).T)[::-1]
+        one, zero = ahead * back / w, (1 - ahead) * (1 - back)
+        out[i] = one / (one + zero)
+    return out
+
+
+def _filtered(w: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+    """Share of the toxic state given the words up to each place of one long sequence, in about sqrt(n) steps over sqrt(n) parts:
+    what a part does to either state, then the states at the parts' starts, then the places within them."""
+    (a00, a01), (a10, a11) = arcs
+    first, rest = w[0] / (w[0] + 1), w[1:]
+    wide = int(len(rest) ** 0.5) + 1
+    parts = -(-len(rest) // wide)
+    grid = np.ones(parts * wide)
+    grid[: len(rest)] = rest
+    grid = grid.reshape(parts, wide)
+    from0, from1 = np.array([np.ones(parts), np.zeros(parts)]), np.array([np.zeros(parts), np.ones(parts)])
+    for t in range(wide):
+        g = grid[:, t]
+        from0, from1 = (np.array([x[0] * a00 + x[1] * a10, (x[0] * a01 + x[1] * a11) * g]) for x in (from0, from1))
+        scale = from0.sum(0) + from1.sum(0)
+        from0, from1 = from0 / scale, from1 / scale
+    start, p = np.empty(parts), first
+    for k in range(parts):
+        start[k] = p
+        zero, one = (1 - p) * from0[:, k] + p * from1[:, k]
+        p = one / (zero + one)
+    out, p = np.empty((parts, wide)), start
+    for t in range(wide):
+        one, zero = (p * a11 + (1 - p) * a01) * grid[:, t], p * a10 + (1 - p) * a00
+        p = one / (one + zero)
+        out[:, t] = p
+    return np.concatenate([[first], out.reshape(-1)[: len(rest)]])
 
 
 def _forward_backward(unary: list[np.ndarray], arcs: np.ndarray, pairs: bool = False):

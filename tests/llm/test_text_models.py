@@ -68,6 +68,16 @@ def test_marginals_against_enumeration():
     assert np.allclose(pairs, expected)
 
 
+def test_long_sequences_give_the_same(monkeypatch):
+    draw = np.random.default_rng(4)
+    arcs = np.array([[0.6, -0.6], [-0.5, -0.4]])
+    sequences = [draw.normal(size=n) * 3 - 3 for n in (1, 2, 3, 10, 999, 5000)]
+    short = toxicity._forward_backward(sequences, arcs)[0]
+    monkeypatch.setattr(toxicity, "LONG", 0)
+    for a, b in zip(short, toxicity.marginals(sequences, arcs)):
+        assert np.allclose(a, b, atol=1e-12)
+
+
 def test_toxicity(spark, prose):
     draw = random.Random(6)
     rows, labels = [], []
