@@ -28,29 +28,35 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut(df: DataFrame, name: str, partition_by: str | None = None, rows_per_group: int | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, so that a lost executor costs no earlier work.
 
-    The folder goes when the process ends.
+    The folder goes when it is discarded or the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarn/{name}-{uuid.uuid4().hex}"
     _created.append((spark, path))
-    writer = df.write.mode("error")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    if rows_per_group:
-        writer = writer.option("parquet.block.size", rows_per_group)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.mode("error").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that no result reads any more."""
+    for df in cuts:
+        _delete(df.sparkSession, df.cut_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _drop_created() -> None:
     for spark, path in _created:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has ended already; a shared scratch folder is then the cluster's to clear
             return
 

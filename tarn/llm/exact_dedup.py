@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, discard, fresh
 
 FIRST_DIGIT = 32
 GROWTH = 16
@@ -90,6 +90,8 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
     local = cut(rows.mapInArrow(_local_classes, _LOCAL), "exact-local")
+    named = cut(local.select("rep", "members", F.col("sha").alias("text_sha256")), "exact-members")
+    before = local
     active = local.select("rep", F.lit(-1).cast("long").alias("node"), F.col("body").alias("rest"), F.struct("top", F.col("rep").alias("by")).alias("best"), "n")
     done, width = [], FIRST_DIGIT
     while True:
@@ -103,19 +105,22 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ended = F.col("child").isNull() | (F.octet_length("digit") < width)
         state = keyed.join(groups.hint("merge"), ["node", "digit"], "left").select(
             "rep", F.coalesce("child", "rep").alias("node"), F.when(~ended, F.col("rest")).alias("rest"), "best",
-            "n", F.coalesce("of_all", "best").alias("of_all"), F.coalesce("total", "n").alias("total"), ended.cast("int").alias("ended"),
+            "n", F.coalesce("of_all", "best").alias("of_all"), F.coalesce("total", "n").alias("total"), ended.alias("ended"),
         )
-        state = cut(state, "exact-state", partition_by="ended")
-        done.append(state.where("ended = 1").select("rep", F.col("of_all.top").alias("keep_id"), F.col("of_all.by").alias("keep_rep"), F.col("total").alias("group_size")))
-        active = state.where("ended = 0").select("rep", "node", "rest", "best", "n")
+        state = cut(state, "exact-state")
+        ends = state.where("ended").select("rep", F.col("of_all.top").alias("keep_id"), F.col("of_all.by").alias("keep_rep"), F.col("total").alias("group_size"))
+        done.append(cut(ends, "exact-ends"))
+        discard(groups, before)
+        before, active = state, state.where("not ended").select("rep", "node", "rest", "best", "n")
         if active.isEmpty():
             break
         width *= GROWTH
+    discard(before)
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
     first = F.coalesce(F.expr("array_position(members, keep_id)"), F.lit(1)) - 1
-    out = local.select("rep", "members", F.col("sha").alias("text_sha256")).join(found, "rep")
+    out = named.join(found, "rep")
     out = out.select("*", F.posexplode("members").alias("at", "doc_id"))
     kept = (F.col("rep") == F.col("keep_rep")) & (F.col("at") == first)
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")

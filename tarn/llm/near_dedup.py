@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, discard, fresh
 from .components import components
 from .shingles import mix, sets
 
@@ -168,13 +168,17 @@ def _classes(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
     tiles = tiles.select("cid", "lead", F.explode(other).alias("t")).select("cid", F.struct("lead", "t.x", "t.y").alias("tile"))
     wanted = tiles.groupBy("cid").agg(F.collect_list("tile").alias("tiles")).join(classes.select("cid", "rep"), "cid")
     wanted = wanted.select("cid", "tiles", F.col("rep.doc_id").alias("want_id"), F.col("rep.key").alias("want_key"))
-    texts = rows.join(cut(wanted, "near-wanted").hint("merge"), rows["doc_id"].eqNullSafe(F.col("want_id")) & (F.col("key") == F.col("want_key")))
+    wanted = cut(wanted, "near-wanted")
+    texts = rows.join(wanted.hint("merge"), rows["doc_id"].eqNullSafe(F.col("want_id")) & (F.col("key") == F.col("want_key")))
     dealt = texts.select("cid", "text", F.explode("tiles").alias("tile")).select("cid", "text", "tile.*")
     links = dealt.groupBy("lead", "x", "y").applyInArrow(_verify(percent), "u long, v long")
     values = classes.select(F.col("cid").alias("node"), F.struct(F.col("low").isNull().alias("none"), "low", "cid").alias("value"))
-    found = components(cut(links.distinct(), "near-links"), values)
+    links = cut(links.distinct(), "near-links")
+    discard(buckets, followers, groups, wanted)
+    found = components(links, values)
     named = classes.select("digest", "cid", "low").join(found, F.col("cid") == F.col("node"), "left")
     named = cut(named.select("digest", F.when(F.col("node").isNull(), F.col("low")).otherwise(F.col("label.low")).alias("component_id")), "near-named")
+    discard(links, found, classes)
     out = signed.select("doc_id", "key", "n_shingles", "digest").join(named.hint("merge"), "digest", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
