@@ -98,6 +98,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     rows = cut(own.select("doc_id", held.alias("s"), F.monotonically_increasing_id().alias("row")), "license-rows")
     cuts = F.array(*[F.transform(F.sequence(F.lit(0), F.floor((F.size("s") - 1) / w).cast("int")), _window(w)) for w in classes]) if classes else F.expr("cast(array() as array<array<struct<wide:int,begin:int,window:array<bigint>>>>)")
     windows = rows.where("s is not null").select("row", F.explode(F.flatten(cuts)).alias("w")).select("row", "w.*").where(F.arrays_overlap("window", known))
+    # few bytes and much arithmetic: dealt anew, into as many tasks as other shuffles have
+    windows = windows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row", "wide", "begin")
     signed = windows.select("row", "wide", "begin", "window", F.posexplode(signature(F.col("window"))).alias("band", "least"))
     bands = F.broadcast(table.select("name", "need", "wide", F.posexplode("signature").alias("band", "least")))
     retrieved = signed.join(bands, ["wide", "band", "least"]).select("row", "name", "begin", "wide", (F.size(F.array_intersect("window", "need")) / F.size("need")).alias("contained"))
