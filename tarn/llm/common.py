@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +67,19 @@ def _drop_created() -> None:
 atexit.register(_drop_created)
 
 
+def pieces(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most ``limit`` bytes in one text column, or of one longer text: only a slice becomes Python objects."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        end, held = at + 1, int(sizes[at])
+        while end < batch.num_rows and held + sizes[end] <= limit:
+            held += int(sizes[end])
+            end += 1
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each behind as many underscores as keep it apart from the columns of ``df``."""
     taken = {c.lower() for c in df.columns}

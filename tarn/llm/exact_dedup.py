@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, fresh
+from .common import cut, discard, fresh, pieces
 
 FIRST_DIGIT = 32
 GROWTH = 16
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 24 << 20
 
 _LOCAL = "rep long, body binary, members array<long>, top long, n long, sha string"
 
@@ -76,12 +76,13 @@ def _local_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types, strict=True)], schema=schema)
 
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t or b"")
-            held += len(texts[-1])
-            if held >= FLUSH_BYTES:
-                yield flush()
+        for piece in pieces(batch, 1, FLUSH_BYTES):
+            for i, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(t or b"")
+                held += len(texts[-1])
+                if held >= FLUSH_BYTES:
+                    yield flush()
     if ids:
         yield flush()
 

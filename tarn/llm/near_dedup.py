@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, fresh
+from .common import cut, discard, fresh, pieces
 from .components import components
 from .shingles import mix, sets
 
@@ -44,7 +44,7 @@ SEED = 10
 BLOCK = 256
 BLOCK_SHINGLES = 4 << 20
 COLUMNS = 8192
-BATCH_CHARS = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def _ranks() -> np.ndarray:
@@ -73,25 +73,14 @@ class Signer:
         return mix((rows * self.factors).sum(1, dtype=np.uint64) + self.band).view(np.int64)
 
 
-def _pieces(texts: list) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(texts):
-        end, held = at + 1, len(texts[at] or "")
-        while end < len(texts) and held + len(texts[end] or "") <= BATCH_CHARS:
-            held += len(texts[end] or "")
-            end += 1
-        yield at, end
-        at = end
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     signer = Signer()
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
     for batch in batches:
-        ids, keys, texts = (c.to_pylist() for c in batch.columns)
-        for at, end in _pieces(texts):
-            own = list(sets(texts[at:end], WIDTH))
-            columns = [ids[at:end], keys[at:end], [len(s) for s in own], [hashlib.blake2b(s.tobytes(), digest_size=20).digest() if len(s) else None for s in own], [signer.bands(s) if len(s) else [] for s in own]]
+        for piece in pieces(batch, 2, BATCH_BYTES):
+            ids, keys, texts = (c.to_pylist() for c in piece.columns)
+            own = list(sets(texts, WIDTH))
+            columns = [ids, keys, [len(s) for s in own], [hashlib.blake2b(s.tobytes(), digest_size=20).digest() if len(s) else None for s in own], [signer.bands(s) if len(s) else [] for s in own]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "key", "n_shingles", "digest", "bands"])
 
 
@@ -132,10 +121,12 @@ def local_roots(members: list[np.ndarray], percent: int = PERCENT) -> np.ndarray
 
 def _verify(percent: int):
     def run(tile: pa.Table) -> pa.Table:
-        first = dict(zip(tile.column("cid").to_pylist(), tile.column("text").to_pylist(), strict=True))
+        first = {}
+        for batch in tile.select(["cid", "text"]).to_batches():
+            for piece in pieces(batch, 1, BATCH_BYTES):
+                first.update(zip(piece.column(0).to_pylist(), sets(piece.column(1).to_pylist(), WIDTH), strict=True))
         cids = sorted(first)
-        texts = [first[c] for c in cids]
-        members = [s for at, end in _pieces(texts) for s in sets(texts[at:end], WIDTH)]
+        members = [first[c] for c in cids]
         root = local_roots(members, percent)
         far = np.flatnonzero(root != np.arange(len(cids)))
         ids = np.array(cids, np.int64)

@@ -30,12 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 SPACE = "▁"
 LETTER = "[A-Za-zÀ-ɏ]"
 #: Marks a part that is normalised already; words of ordinary texts never begin with it.
 DONE = SPACE
-CACHE_WORDS = 600_000
-BATCH_CHARS = 8 << 20
+CACHE_WORDS = 200_000
+BATCH_BYTES = 3 << 20
 
 
 class CharacterMap:
@@ -269,17 +271,11 @@ def codec(path: str) -> Codec:
 
 
 def _batches(batches: Iterator[pa.RecordBatch], own: Codec):
-    """(ids of documents, texts, arrays of ids) of at most BATCH_CHARS characters, or of one longer text."""
+    """(ids of documents, texts, arrays of ids) of at most BATCH_BYTES bytes, or of one longer text."""
     for batch in batches:
-        keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-        at = 0
-        while at < len(texts):
-            end, held = at + 1, len(texts[at])
-            while end < len(texts) and held + len(texts[end]) <= BATCH_CHARS:
-                held += len(texts[end])
-                end += 1
-            yield keys[at:end], texts[at:end], own.ids(texts[at:end])
-            at = end
+        for piece in pieces(batch, 1, BATCH_BYTES):
+            texts = [t or "" for t in piece.column(1).to_pylist()]
+            yield piece.column(0).to_pylist(), texts, own.ids(texts)
 
 
 def _encoder(path: str):

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-PIECE = 2 << 20
+PIECE = 1 << 20
 _draw = np.random.default_rng(85)
 _OF_BYTE = _draw.integers(1, 2**63, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 TRAIN_DOCS = 1200
 FIT_DOCS = 500
 TRAIN_CHARS = 50_000
@@ -45,8 +47,8 @@ LONG = 4096
 STEPS = 40
 TOP = 3
 THRESHOLD = 0.3
-BATCH_CHARS = 6 << 20
-CACHE_WORDS = 400_000
+BATCH_BYTES = 2 << 20
+CACHE_WORDS = 150_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -296,9 +298,8 @@ def tag(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, end in _pieces(texts):
-                columns = [ids[at:end], *zip(*scorer(texts[at:end]), strict=True)]
+            for piece in pieces(batch, 1, BATCH_BYTES):
+                columns = [piece.column(0).to_pylist(), *zip(*scorer(piece.column(1).to_pylist()), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "score", "begins", "ends", "marginals"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -313,24 +314,12 @@ def keep(docs: DataFrame, field: Field, threshold: float = THRESHOLD, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            for at, end in _pieces(texts):
-                yield batch.slice(at, end - at).filter(pa.array([row[0] < threshold for row in scorer(texts[at:end])], pa.bool_()))
+            for piece in pieces(batch, place, BATCH_BYTES):
+                yield piece.filter(pa.array([row[0] < threshold for row in scorer(piece.column(place).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _pieces(texts: list) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(texts):
-        end, held = at + 1, len(texts[at] or "")
-        while end < len(texts) and held + len(texts[end] or "") <= BATCH_CHARS:
-            held += len(texts[end] or "")
-            end += 1
-        yield at, end
-        at = end
-
-
 class _Scorer:
     """Scores, places of offending words and their marginals, a batch of texts at a time."""
 
