@@ -9,16 +9,24 @@ template is there, so one of BANDS bands of one row collides with probability
 1 - 0.81^64, over 0.999998. Retrieved templates count if the window holds at least
 CONTAINED of their shingles.
 
-Windows that share no shingle with the templates cannot match and are not
-signed. Templates are a table of bounded size (MAX_SHINGLES shingles in all, else
-an error), so they are broadcast.
-
-Defined results: null and empty texts and texts shorter than WIDTH words hold no license;
+A share that must stand may be higher than CONTAINED, by template: lines and notices that
+differ in a version number only must stand whole. A window that lacks at most m shingles of
+a template holds one of any m + 1 of them, so windows without one of these anchors cannot match and are not
+signed. A template shorter than WIDTH words is one shingle of all its words and is
+looked up at that width. Templates are a table of bounded size (MAX_SHINGLES shingles
+in all, else an error), so they are broadcast. Several templates may share a name,
+which is then found once, where most of a template stands.
+
+Defined results: null and empty texts hold no license;
 rows that repeat an id are rows of their own; empty tables give empty results. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+import pkgutil
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,15 +70,38 @@ TEMPLATES = {
 }
 
 
+def library() -> list[tuple[str, str, float]]:
+    """The rows (name, body, contained) of license_texts.jsonl: texts, notices and statements, what the registered query scans with."""
+    lines = pkgutil.get_data(__package__, "license_texts.jsonl").decode().splitlines()
+    return [(r["name"], r["body"], r["contained"]) for r in map(json.loads, lines)]
+
+
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
+def runs(found: Column, width: int) -> Column:
+    """Hashes of all runs of ``width`` words, in order."""
+    at = F.when(F.size(found) >= width, F.sequence(F.lit(1), F.size(found) - (width - 1))).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(at, lambda i: F.xxhash64(*[F.element_at(found, i + k) for k in range(width)]))
+
+
 def shingles(text: Column) -> Column:
-    """Hashes of all runs of WIDTH words, in order."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Hashes of all runs of WIDTH words, or the one of all words of a shorter text."""
+
+    def of(found: Column) -> Column:
+        out = runs(found, WIDTH)
+        for width in range(1, WIDTH):
+            out = F.when(F.size(found) == width, runs(found, width)).otherwise(out)
+        return out
+
+    return F.flatten(F.transform(F.array(words(text)), of))  # the array of one keeps the words from being found again
 
-    def of(words: Column) -> Column:
-        at = F.when(F.size(words) >= WIDTH, F.sequence(F.lit(1), F.size(words) - (WIDTH - 1))).otherwise(F.expr("cast(array() as array<int>)"))
-        return F.transform(at, lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(WIDTH)]))
 
-    return F.flatten(F.transform(F.array(found), of))  # the array of one keeps the words from being found again
+def _longs(values: Iterable[int]) -> Column:
+    """A constant array: a text until the optimizer folds it, as one literal a value is slow to send."""
+    values = list(values)
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.expr("cast(array() as array<bigint>)")
 
 
 def signature(window: Column) -> Column:
@@ -78,37 +109,80 @@ def signature(window: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.array_min(F.transform(window, lambda x: F.xxhash64(x, j))))
 
 
-def template_table(spark, templates: dict[str, str]) -> tuple[DataFrame, list[int], list[int]]:
-    """(name, need, size class, signature) of the templates, the classes, and all shingles."""
-    rows = spark.createDataFrame([(k, v) for k, v in templates.items()], "name string, body string").select("name", F.array_distinct(shingles(F.col("body"))).alias("need")).where(F.size("need") > 0)
-    held = [(r.name, r.need, 1 << (len(r.need) - 1).bit_length()) for r in rows.collect()]
-    every = sorted({h for _, need, _ in held for h in need})
-    if len(every) > MAX_SHINGLES:
+def template_table(spark, templates: list[tuple[str, str, float]]) -> tuple[DataFrame, dict[int, list[int]], dict[int, dict[int, list[str]]]]:
+    """(name, need, share of it that must stand, size class, signature) of the templates, the anchors of each class, and by width and hash the names of short ones."""
+    rows = spark.createDataFrame(templates, "name string, body string, least double").select("name", "least", F.size(words(F.col("body"))).alias("n"), F.array_distinct(shingles(F.col("body"))).alias("need")).where("n > 0").collect()
+    if len({h for r in rows for h in r.need}) > MAX_SHINGLES:
         raise ValueError(f"templates of more than {MAX_SHINGLES} shingles")
-    table = spark.createDataFrame(held, "name string, need array<long>, wide int").withColumn("signature", signature(F.col("need")))
-    return table, sorted({w for _, _, w in held}), every
-
-
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_licenses, licenses (names in order, joined by "; "), found (name, begin and end in words, containment)."""
-    table, classes, every = template_table(docs.sparkSession, TEMPLATES if templates is None else templates)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), shingles(F.col(text_col)).alias("s"))
-    known = F.lit(every) if every else F.expr("cast(array() as array<bigint>)")
-    held = F.when(F.arrays_overlap("s", known), F.col("s"))
-    rows = cut(own.select("doc_id", held.alias("s"), F.monotonically_increasing_id().alias("row")), "license-rows")
-    cuts = F.array(*[F.transform(F.sequence(F.lit(0), F.floor((F.size("s") - 1) / w).cast("int")), _window(w)) for w in classes]) if classes else F.expr("cast(array() as array<array<struct<wide:int,begin:int,window:array<bigint>>>>)")
-    windows = rows.where("s is not null").select("row", F.explode(F.flatten(cuts)).alias("w")).select("row", "w.*").where(F.arrays_overlap("window", known))
+    held, anchors, short = [], {}, {}
+    for r in rows:
+        if r.n < WIDTH:
+            names = short.setdefault(r.n, {}).setdefault(r.need[0], [])
+            names.extend({r.name} - {*names})
+            continue
+        wide = 1 << (len(r.need) - 1).bit_length()
+        held.append((r.name, r.need, r.least, wide))
+        anchors.setdefault(wide, set()).update(sorted(r.need)[: int((1 - r.least) * len(r.need) + 1e-6) + 1])
+    table = spark.createDataFrame(held, "name string, need array<long>, share double, wide int").withColumn("signature", signature(F.col("need")))
+    return table, {w: sorted(anchors[w]) for w in sorted(anchors)}, short
+
+
+def _short(found: Column, known: dict[int, dict[int, list[str]]]) -> Column:
+    """Templates of fewer than WIDTH words: (name, begin, end, contained)."""
+    none = F.expr("cast(array() as array<struct<name:string,begin:int,end:int,contained:double>>)")
+
+    def of(width: int) -> Column:
+        hashes = _longs(known[width])
+        names = F.array(*[F.array(*map(F.lit, x)) for x in known[width].values()])
+
+        def at(hs: Column) -> Column:
+            def match(h: Column) -> Column:
+                begin = (F.array_position(hs, h) - 1).cast("int")
+                return F.transform(F.element_at(names, F.array_position(hashes, h).cast("int")), lambda n: F.struct(n.alias("name"), begin.alias("begin"), (begin + width).alias("end"), F.lit(1.0).alias("contained")))
+
+            return F.flatten(F.transform(F.array_intersect(hs, hashes), match))
+
+        return F.flatten(F.transform(F.array(runs(found, width)), at))
+
+    return F.concat(none, *[of(width) for width in sorted(known)])
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | list[tuple[str, str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_licenses, licenses (names in order, joined by "; "), found (name, begin and end in words, containment).
+
+    ``templates`` are bodies by name, of which CONTAINED must stand, or rows (name, body, share that must stand, at least CONTAINED); TEMPLATES if not given.
+    """
+    templates = TEMPLATES if templates is None else templates
+    table, anchors, known = template_table(docs.sparkSession, [(k, v, CONTAINED) for k, v in templates.items()] if isinstance(templates, dict) else list(templates))
+    every = _longs(sorted({h for a in anchors.values() for h in a}))
+    both = F.transform(F.array(words(F.col(text_col))), lambda w: F.struct(runs(w, WIDTH).alias("s"), _short(w, known).alias("short")))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.element_at(both, 1).alias("b")).select("doc_id", "b.*")
+    own = own.select("doc_id", "short", "s", F.array_intersect("s", every).alias("hits"))
+    held = F.when(F.size("hits") > 0, F.col("s"))
+    rows = cut(own.select("doc_id", "short", held.alias("s"), "hits", F.monotonically_increasing_id().alias("row")), "license-rows")
+    near = rows.where("s is not null").select("row", "s", *[F.array_intersect("hits", _longs(a)).alias(f"hits_{w}") for w, a in anchors.items()])
+    none = F.expr("cast(array() as array<struct<wide:int,begin:int,window:array<bigint>>>)")
+
+    def windows_of(w: int) -> Column:
+        every_one = F.transform(F.sequence(F.lit(0), F.floor((F.size("s") - 1) / w).cast("int")), _window(w))
+        return F.when(F.size(f"hits_{w}") > 0, F.filter(every_one, lambda x: F.arrays_overlap(x["window"], F.col(f"hits_{w}")))).otherwise(none)
+
+    windows = near.select("row", F.explode(F.concat(none, *[windows_of(w) for w in anchors])).alias("w")).select("row", "w.*")
     # few bytes and much arithmetic: dealt anew, into as many tasks as other shuffles have
     windows = windows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row", "wide", "begin")
     signed = windows.select("row", "wide", "begin", "window", F.posexplode(signature(F.col("window"))).alias("band", "least"))
-    bands = F.broadcast(table.select("name", "need", "wide", F.posexplode("signature").alias("band", "least")))
-    retrieved = signed.join(bands, ["wide", "band", "least"]).select("row", "name", "begin", "wide", (F.size(F.array_intersect("window", "need")) / F.size("need")).alias("contained"))
-    exact = retrieved.where(F.col("contained") >= CONTAINED).groupBy("row", "name").agg(F.max(F.struct("contained", (-F.col("begin")).alias("back"), "wide")).alias("best"))
+    bands = F.broadcast(table.select("name", "need", "share", "wide", F.posexplode("signature").alias("band", "least")))
+    retrieved = signed.join(bands, ["wide", "band", "least"]).select("row", "name", "begin", "wide", "share", (F.size(F.array_intersect("window", "need")) / F.size("need")).alias("contained"))
+    exact = retrieved.where(F.col("contained") >= F.col("share")).groupBy("row", "name").agg(F.max(F.struct("contained", (-F.col("begin")).alias("back"), "wide")).alias("best"))
     match = F.struct("name", (-F.col("best.back")).alias("begin"), (-F.col("best.back") + 2 * F.col("best.wide") + WIDTH - 1).alias("end"), F.col("best.contained").alias("contained"))
-    found = cut(exact.groupBy("row").agg(F.sort_array(F.collect_list(match)).alias("found")), "license-found")
-    out = rows.select("row", "doc_id").join(found.hint("merge"), "row", "left")
+    found = cut(exact.groupBy("row").agg(F.collect_list(match).alias("long")), "license-found")
+    out = rows.select("row", "doc_id", "short").join(found.hint("merge"), "row", "left")
+    # a name of the short templates that a longer one of that name was found by already, or that was found before, counts once
+    more = F.coalesce("long", F.expr("cast(array() as array<struct<name:string,begin:int,end:int,contained:double>>)"))
+    new = F.filter("short", lambda x, i: ~F.exists(more, lambda y: y["name"] == x["name"]) & ~F.exists(F.slice("short", F.lit(1), i), lambda y: y["name"] == x["name"]))
+    out = out.select("doc_id", F.sort_array(F.concat(more, new)).alias("found"))
     names = F.transform("found", lambda m: m["name"])
-    return out.select("doc_id", F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_licenses"), F.coalesce(F.array_join(names, "; "), F.lit("")).alias("licenses"), "found")
+    return out.select("doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join(names, "; ").alias("licenses"), F.when(F.size("found") > 0, F.col("found")).alias("found"))
 
 
 def _window(wide: int):

@@ -52,7 +52,7 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents")).drop("found")
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.library()).drop("found")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
