@@ -5,10 +5,11 @@ Each distinct value is a protected entity. Words beside a mention (at most REACH
 code points away, on whole words) may reveal it: over the corpus, with documents
 as the unit, PMI(e; t) = log2(n(e, t) n / (n(e) n(t))) says how much a term tells
 of an entity and IC(e) = -log2(n(e) / n) how much there is to tell. Their
-quotient is the disclosure, 1 if the term occurs beside the entity alone. From
-GENERALISE on a term is generalised, from REMOVE on it is removed, wherever it
-stands beside that entity; a pair must be seen in SUPPORT documents. Documents
-without a base span are left alone.
+quotient is the disclosure, 1 + log2(n(e, t) / n(t)) / IC(e). Few documents say little of
+n(e, t) / n(t), so it is smoothed towards n(e) / n, its value if term and entity had nothing
+to do with each other, with the weight of PRIOR documents; no value is too rare to be
+protected. From GENERALISE on a term is generalised, from REMOVE on it is removed,
+wherever it stands beside that entity. Documents without a base span are left alone.
 
 Patterns are written so that the regex engine neither recurses nor tries a
 run of characters again from its middle; they match what the plain patterns match.
@@ -37,7 +38,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"\p{L}{3,}"
 REACH = 80
-SUPPORT = 3
+PRIOR = 0.5
 GENERALISE = 0.8
 REMOVE = 0.95
 
@@ -144,17 +145,17 @@ def _risky(rows: DataFrame, base: DataFrame) -> DataFrame:
     total = base.count()
     held = base.where(F.size("base") > 0)
     entities = held.select(F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n_e"))
-    entities = cut(entities.where(F.col("n_e") >= SUPPORT), "pii-entities")
+    entities = cut(entities, "pii-entities")
     pairs = held.select(F.explode(F.array_distinct(F.transform("beside", lambda b: F.struct(b["value"].alias("value"), b["term"].alias("term"))))).alias("p"))
     pairs = pairs.select("p.*").groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_et"))
-    pairs = cut(pairs.where(F.col("n_et") >= SUPPORT), "pii-pairs")
+    pairs = cut(pairs, "pii-pairs")
     words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") >= SUPPORT)
+    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     terms = cut(terms.join(pairs.select("term").distinct(), "term", "left_semi"), "pii-words")
     joint = cut(pairs.join(entities.hint("merge"), "value"), "pii-joint").join(terms.hint("merge"), "term")
-    pmi = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e").cast("double") * F.col("n_t")))
-    content = -F.log2(F.col("n_e") / F.lit(float(max(1, total))))
-    scored = joint.select("value", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("disclosure"))
+    share = F.col("n_e") / F.lit(float(max(1, total)))
+    given = (F.col("n_et") + PRIOR * share) / (F.col("n_t") + PRIOR)
+    scored = joint.select("value", "term", F.when(share < 1, 1 - F.log2(given) / F.log2(share)).otherwise(0.0).alias("disclosure"))
     return cut(scored.where(F.col("disclosure") >= GENERALISE), "pii-risky")
 
 
