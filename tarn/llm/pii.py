@@ -1,15 +1,20 @@
 """Personal data: patterns, and terms that reveal what the patterns found. DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers.
-Each distinct value is a protected entity. Words beside a mention (at most REACH
-code points away, on whole words) may reveal it: over the corpus, with documents
+Each distinct value is a protected entity. Words of the documents that mention it,
+wherever they stand, may reveal it: over the corpus, with documents
 as the unit, PMI(e; t) = log2(n(e, t) n / (n(e) n(t))) says how much a term tells
 of an entity and IC(e) = -log2(n(e) / n) how much there is to tell. Their
 quotient is the disclosure, 1 + log2(n(e, t) / n(t)) / IC(e). Few documents say little of
 n(e, t) / n(t), so it is smoothed towards n(e) / n, its value if term and entity had nothing
 to do with each other, with the weight of PRIOR documents; no value is too rare to be
 protected. From GENERALISE on a term is generalised, from REMOVE on it is removed,
-wherever it stands beside that entity. Documents without a base span are left alone.
+wherever it stands in a document that mentions that entity. Documents without a base span are
+left alone.
+
+Values that stand in the same documents have the same n(e, t) for all terms, so they are one
+group: pairs are counted by group, and a list of addresses of one document costs as much as
+one address.
 
 Patterns are written so that the regex engine neither recurses nor tries a
 run of characters again from its middle; they match what the plain patterns match.
@@ -37,7 +42,7 @@ PATTERNS = {
 #: A character without which a text has no match of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"\p{L}{3,}"
-REACH = 80
+STEP = 64
 PRIOR = 0.5
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -52,8 +57,16 @@ def located(text: Column, pattern: str) -> Column:
     found = F.struct(hits.alias("hits"), gaps.alias("gaps"), F.transform(hits, lambda h: F.length(h)).alias("sizes"))
 
     def place(f: Column) -> Column:
-        total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + x)
-        return F.transform(f["hits"], lambda h, i: F.struct(h.alias("hit"), (total(f["gaps"], i + 1) + total(f["sizes"], i)).alias("start")))
+        # the sum of a block is taken once, so that a place costs a block and the blocks before it
+        total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+        both = F.zip_with(F.slice(f["gaps"], F.lit(1), F.size(f["hits"])), f["sizes"], lambda g, h: g + h)
+        sums = F.transform(F.array(both), lambda b: F.struct(b.alias("both"), F.transform(F.sequence(F.lit(0), F.floor(F.size(b) / STEP).cast("int")), lambda k: total(F.slice(b, k * STEP + 1, F.lit(STEP)))).alias("blocks")))
+
+        def start(s: Column, i: Column) -> Column:
+            k = F.floor(i / STEP).cast("int")
+            return total(F.slice(s["blocks"], F.lit(1), k)) + total(F.slice(s["both"], k * STEP + 1, i - k * STEP)) + F.element_at(f["gaps"], i + 1)
+
+        return F.flatten(F.transform(sums, lambda s: F.transform(f["hits"], lambda h, i: F.struct(h.alias("hit"), start(s, i).alias("start")))))
 
     empty = F.expr("cast(array() as array<struct<hit:string,start:int,end:int>>)")
     spans = F.flatten(F.transform(F.array(found), place))  # the array of one keeps the matches from being searched for again
@@ -97,16 +110,9 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def _beside(text: Column, span: Column) -> Column:
-    """Whole words near a span: (value, term, start, end)."""
-    left_at, right_at = F.greatest(F.lit(0), span["start"] - REACH), span["end"]
-    left, right = F.substring(text, left_at + 1, span["start"] - left_at), F.substring(text, right_at + 1, F.lit(REACH))
-    cut_left = F.when(left_at > 0, F.length(F.regexp_extract(left, r"^\S*", 0))).otherwise(0)
-    left = F.substring(left, cut_left + 1, F.length(left))
-    cut_right = F.when(right_at + REACH < F.length(text), F.length(F.regexp_extract(right, r"\S*$", 0))).otherwise(0)
-    right = F.substring(right, F.lit(1), F.length(right) - cut_right)
-    word = lambda at: lambda s: F.struct(span["value"].alias("value"), F.lower(s["hit"]).alias("term"), (s["start"] + at).alias("start"), (s["end"] + at).alias("end"))
-    return F.concat(F.transform(located(left, TERM), word(left_at + cut_left)), F.transform(located(right, TERM), word(right_at)))
+def _terms(text: Column) -> Column:
+    """The words of a text: (term, start, end)."""
+    return F.transform(located(text, TERM), lambda s: F.struct(F.lower(s["hit"]).alias("term"), s["start"].alias("start"), s["end"].alias("end")))
 
 
 def _joined(spans: Column) -> Column:
@@ -121,14 +127,12 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
     base = rows.withColumn("base", base_spans(F.col("text")))
     free = lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"]))
-    beside = F.filter(F.flatten(F.transform("base", lambda s: _beside(F.col("text"), s))), free)
-    nothing = F.expr("cast(array() as array<struct<value:string,term:string,start:int,end:int>>)")
-    base = base.withColumn("beside", F.when(F.size("base") > 0, beside).otherwise(nothing)).drop("text")
+    nothing = F.expr("cast(array() as array<struct<term:string,start:int,end:int>>)")
+    base = base.withColumn("words", F.when(F.size("base") > 0, F.filter(_terms(F.col("text")), free)).otherwise(nothing)).drop("text")
     base = cut(base.withColumn("row", F.monotonically_increasing_id()), "pii-base")
-    risky = _risky(rows, base)
-    near = base.where(F.size("beside") > 0).select("row", F.explode(F.array_distinct("beside")).alias("b")).select("row", "b.*")
-    spans = near.join(risky.hint("merge"), ["value", "term"]).select("row", F.when(F.col("disclosure") >= REMOVE, len(KINDS) + 1).otherwise(len(KINDS)).alias("kind"), "start", "end", "term")
-    spans = spans.groupBy("row", "start", "end").agg(F.max("kind").alias("kind"), F.first("term").alias("term"))
+    spans = cut(_risky(rows, base), "pii-risky")
+    places = base.where(F.size("words") > 0).select("row", F.explode("words").alias("w")).select("row", "w.*")
+    spans = places.join(spans.hint("merge"), ["row", "term"]).select("row", F.when(F.col("disclosure") >= REMOVE, len(KINDS) + 1).otherwise(len(KINDS)).alias("kind"), "start", "end", "term")
     spans = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end", F.col("term").alias("value")))).alias("terms"))
     out = base.join(cut(spans, "pii-terms").hint("merge"), "row", "left")
     terms = F.coalesce("terms", F.expr(f"cast(array() as array<{_SPAN}>)"))
@@ -141,22 +145,28 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
 
 def _risky(rows: DataFrame, base: DataFrame) -> DataFrame:
-    """Pairs of entity value and term with a disclosure of at least GENERALISE: (value, term, disclosure)."""
+    """The terms of a row that tell of a value in it with a disclosure of at least GENERALISE, and the highest one: (row, term, disclosure)."""
     total = base.count()
     held = base.where(F.size("base") > 0)
-    entities = held.select(F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n_e"))
-    entities = cut(entities, "pii-entities")
-    pairs = held.select(F.explode(F.array_distinct(F.transform("beside", lambda b: F.struct(b["value"].alias("value"), b["term"].alias("term"))))).alias("p"))
-    pairs = pairs.select("p.*").groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_et"))
-    pairs = cut(pairs, "pii-pairs")
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    values = held.select("row", F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("value"))
+    # values of the same documents are a group, known by the number of documents and hashes of them all
+    marks = [F.bit_xor(F.xxhash64("row")), F.bit_xor(F.xxhash64("row", F.lit(1)))]
+    entities = cut(values.groupBy("value").agg(F.count(F.lit(1)).alias("n_e"), F.struct(F.min("row"), F.max("row"), *marks, F.count(F.lit(1))).alias("group")), "pii-entities")
+    groups = values.join(entities.hint("merge"), "value").select("row", "n_e", "group").distinct()
+    groups = groups.groupBy("row").agg(F.collect_list(F.struct("group", "n_e")).alias("groups"))
+    own = held.select("row", F.array_distinct(F.transform("words", lambda w: w["term"])).alias("own")).where(F.size("own") > 0)
+    near = cut(own.join(groups.hint("merge"), "row"), "pii-near")
+    near = near.select("row", "own", F.explode("groups").alias("g")).select("row", "g.*", F.explode("own").alias("term"))
+    pairs = cut(near.groupBy("group", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et")), "pii-pairs")
+    words = rows.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
     terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     terms = cut(terms.join(pairs.select("term").distinct(), "term", "left_semi"), "pii-words")
-    joint = cut(pairs.join(entities.hint("merge"), "value"), "pii-joint").join(terms.hint("merge"), "term")
+    joint = pairs.join(terms.hint("merge"), "term")
     share = F.col("n_e") / F.lit(float(max(1, total)))
     given = (F.col("n_et") + PRIOR * share) / (F.col("n_t") + PRIOR)
-    scored = joint.select("value", "term", F.when(share < 1, 1 - F.log2(given) / F.log2(share)).otherwise(0.0).alias("disclosure"))
-    return cut(scored.where(F.col("disclosure") >= GENERALISE), "pii-risky")
+    scored = joint.select("group", "term", F.when(share < 1, 1 - F.log2(given) / F.log2(share)).otherwise(0.0).alias("disclosure"))
+    scored = cut(scored.where(F.col("disclosure") >= GENERALISE), "pii-scored")
+    return near.join(scored.hint("merge"), ["group", "term"]).groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
