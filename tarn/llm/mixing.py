@@ -13,8 +13,8 @@ Bounds: what reaches the driver is one row per source, at most MAX_SOURCES
 rows of all sources, so a source with a third of all rows is dealt over all shards.
 
 Defined results: a null text has no words; a document without words has taken 0;
-a null source is a source of its own. Documents that repeat an id are rows of
-their own. Empty tables give empty results. Other columns are not read.
+a null source is a source of its own. Documents that repeat an id, or have none, are rows of
+their own; they are dealt to shards by id and text, so only equal texts of one id meet in one. Empty tables give empty results. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -101,8 +101,14 @@ def _shard_quotas(cells: pd.DataFrame) -> pd.DataFrame:
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken."""
+    return _planned(docs, id_col, text_col, source_col, seed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, row: str | None = None) -> DataFrame:
+    """The plan, with the numbers in the column ``row`` as row, which decide between equal rows."""
     spark = docs.sparkSession
     sized = docs.select(
+        (F.col(row) if row else F.lit(0).cast("long")).alias("row"), F.xxhash64(F.col(text_col)).alias("key"),
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
@@ -118,17 +124,17 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     shards = min(MAX_SHARDS, 1 << max(0, (rows - 1) // SHARD_ROWS).bit_length())
     schema = "src long, source string, source_size long, target double, quota long"
     sources = spark.createDataFrame([(i, r.source, r.words, float(t), q) for i, (r, t, q) in enumerate(zip(totals, target, quotas, strict=True))], schema)
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)))
+    dealt = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "key"), F.lit(shards)))
     dealt = dealt.join(F.broadcast(sources), dealt["source"].eqNullSafe(sources["source"])).drop("source")
     cells = dealt.groupBy("src", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
     cells = cells.groupBy("src").applyInPandas(_shard_quotas, "src long, shard long, words long, take long")
     dealt = dealt.drop("quota").join(cells, ["src", "shard"])
-    order = Window.partitionBy("src", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("src", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "key"), "doc_id", "key", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     dealt = dealt.withColumn("end", F.sum("size").over(order))
     whole = F.when(F.col("words") > 0, F.expr("take div words")).otherwise(0)
     rest = F.when(F.col("words") > 0, F.expr("take % words")).otherwise(0)
     part = F.greatest(F.lit(0), F.least("end", rest) - (F.col("end") - F.col("size")))
-    return dealt.select("doc_id", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
+    return dealt.select("row", "doc_id", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
 
 
 def _first_words(text: pd.Series, n: pd.Series) -> pd.Series:
@@ -144,11 +150,11 @@ def _first_words(text: pd.Series, n: pd.Series) -> pd.Series:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The mixture itself: whole copies of the documents, and for a part of one its first words; all columns are kept."""
-    own, own_size, own_taken, part = fresh(docs, "_id", "_size", "_taken", "_part")
-    taken = plan(docs, id_col, text_col, source_col, seed).where("taken > 0").select(F.col("doc_id").alias(own), F.col("size").alias(own_size), F.col("taken").alias(own_taken))
-    taken = taken.dropDuplicates([own, own_size])
-    size = F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long")
-    rows = docs.join(taken, docs[id_col].eqNullSafe(F.col(own)) & (size == F.col(own_size)))
+    own, own_row, own_size, own_taken, part = fresh(docs, "_id", "_row", "_size", "_taken", "_part")
+    docs_in_order = cut(docs.withColumn(own_row, F.monotonically_increasing_id()), "mix-rows")  # written, so that a row keeps its number
+    taken = _planned(docs_in_order, id_col, text_col, source_col, seed, own_row).where("taken > 0")
+    taken = taken.select(F.col("row").alias(own), F.col("size").alias(own_size), F.col("taken").alias(own_taken))
+    rows = docs_in_order.join(taken, F.col(own_row) == F.col(own))
     whole = F.expr(f"transform(sequence(1, cast({own_taken} div {own_size} as int)), x -> 0L)")
     none, rest = F.expr("cast(array() as array<bigint>)"), F.col(own_taken) % F.col(own_size)
     copies = F.concat(F.when(F.col(own_taken) >= F.col(own_size), whole).otherwise(none), F.when(rest > 0, F.array(rest)).otherwise(none))
