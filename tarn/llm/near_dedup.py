@@ -137,7 +137,7 @@ def _verify(percent: int):
 
 def near_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    return _classes(docs, percent, id_col, text_col).drop("key")
+    return _classes(docs, percent, id_col, text_col).drop("key", "root")
 
 
 def _classes(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -168,17 +168,22 @@ def _classes(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
     discard(buckets, followers, groups, wanted)
     found = components(links, values)
     named = classes.select("digest", "cid", "low").join(found, F.col("cid") == F.col("node"), "left")
-    named = cut(named.select("digest", F.when(F.col("node").isNull(), F.col("low")).otherwise(F.col("label.low")).alias("component_id")), "near-named")
+    named = cut(named.select("digest", F.when(F.col("node").isNull(), F.col("low")).otherwise(F.col("label.low")).alias("component_id"), F.coalesce("label.cid", "cid").alias("root")), "near-named")
     discard(links, found, classes)
     out = signed.select("doc_id", "key", "n_shingles", "digest").join(named.hint("merge"), "digest", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "root")
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, with all their columns; of rows without an id only equal texts go."""
+    """The rows of ``docs`` that stay, one of each component, with all their columns: the smallest id (null last), then the smallest hash of the text.
+
+    Rows without words are components of their own, one of each id and text."""
     own, kept_id, kept_key = fresh(docs, "_key", "_kept_id", "_kept_key")
-    kept = _classes(docs, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id), F.col("key").alias(kept_key))
+    alone = lambda name: F.when(F.col("root").isNull(), F.col(name))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    kept = _classes(docs, percent, id_col, text_col).groupBy("root", alone("doc_id").alias("own_id"), alone("key").alias("own_key")).agg(first)
+    kept = kept.select(F.col("first.doc_id").alias(kept_id), F.col("first.key").alias(kept_key))
     rows = docs.withColumn(own, F.xxhash64(F.col(text_col)))
-    same = rows[id_col].eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_key))
+    same = rows[id_col].eqNullSafe(F.col(kept_id)) & (F.col(own).eqNullSafe(F.col(kept_key)))
     return rows.join(kept, same, "left_semi").dropDuplicates([id_col, own]).drop(own)
