@@ -42,7 +42,7 @@ PATTERNS = {
 #: A character without which a text has no match of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"\p{L}{3,}"
-STEP = 64
+STEP = 256
 PRIOR = 0.5
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -50,6 +50,23 @@ REMOVE = 0.95
 _SPAN = "struct<kind:int,start:int,end:int,value:string>"
 
 
+def _before(numbers: Column) -> Column:
+    """For each of some integers the sum of those before it: sums run within blocks of STEP, then over the blocks, so that a
+    place costs no more where there are many."""
+
+    def run(xs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("total"), F.expr("cast(array() as array<int>)").alias("before"))
+        return F.aggregate(xs, start, lambda s, x: F.struct((s["total"] + x).alias("total"), F.concat(s["before"], F.array(s["total"])).alias("before")))
+
+    blocks = F.transform(_block_numbers(numbers), lambda k: run(F.slice(numbers, k * STEP + 1, F.lit(STEP))))
+    whole = lambda b: F.zip_with(b, run(F.transform(b, lambda x: x["total"]))["before"], lambda x, at: F.transform(x["before"], lambda n: n + at))
+    return F.flatten(F.flatten(F.transform(F.array(blocks), whole)))
+
+
+def _block_numbers(values: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor(F.size(values) / STEP).cast("int"))
+
+
 def located(text: Column, pattern: str) -> Column:
     """Leftmost matches that do not overlap, as (hit, start, end): the gaps between them give their places."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -57,20 +74,13 @@ def located(text: Column, pattern: str) -> Column:
     found = F.struct(hits.alias("hits"), gaps.alias("gaps"), F.transform(hits, lambda h: F.length(h)).alias("sizes"))
 
     def place(f: Column) -> Column:
-        # the sum of a block is taken once, so that a place costs a block and the blocks before it
-        total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-        both = F.zip_with(F.slice(f["gaps"], F.lit(1), F.size(f["hits"])), f["sizes"], lambda g, h: g + h)
-        sums = F.transform(F.array(both), lambda b: F.struct(b.alias("both"), F.transform(F.sequence(F.lit(0), F.floor(F.size(b) / STEP).cast("int")), lambda k: total(F.slice(b, k * STEP + 1, F.lit(STEP)))).alias("blocks")))
-
-        def start(s: Column, i: Column) -> Column:
-            k = F.floor(i / STEP).cast("int")
-            return total(F.slice(s["blocks"], F.lit(1), k)) + total(F.slice(s["both"], k * STEP + 1, i - k * STEP)) + F.element_at(f["gaps"], i + 1)
-
-        return F.flatten(F.transform(sums, lambda s: F.transform(f["hits"], lambda h, i: F.struct(h.alias("hit"), start(s, i).alias("start")))))
+        first = F.slice(f["gaps"], F.lit(1), F.size(f["hits"]))
+        both = F.zip_with(first, f["sizes"], lambda g, h: g + h)
+        starts = F.flatten(F.transform(F.array(both), lambda b: F.zip_with(_before(b), first, lambda s, g: s + g)))
+        return F.zip_with(f["hits"], starts, lambda h, s: F.struct(h.alias("hit"), s.alias("start"), (s + F.length(h)).alias("end")))
 
     empty = F.expr("cast(array() as array<struct<hit:string,start:int,end:int>>)")
     spans = F.flatten(F.transform(F.array(found), place))  # the array of one keeps the matches from being searched for again
-    spans = F.transform(spans, lambda s: F.struct(s["hit"].alias("hit"), s["start"].alias("start"), (s["start"] + F.length(s["hit"])).alias("end")))
     return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(empty)
 
 
@@ -111,8 +121,17 @@ def base_spans(text: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    """The words of a text: (term, start, end)."""
-    return F.transform(located(text, TERM), lambda s: F.struct(F.lower(s["hit"]).alias("term"), s["start"].alias("start"), s["end"].alias("end")))
+    """The words of a text outside its e-mail addresses, the only base spans that hold letters: (term, start, end)."""
+
+    def outside(f: Column) -> Column:
+        sizes = F.zip_with(F.transform(f["gaps"], lambda g: F.length(g)), F.transform(f["hits"], lambda h: F.length(h)), lambda g, h: g + F.coalesce(h, F.lit(0)))
+        starts = F.flatten(F.transform(F.array(sizes), _before))
+        of_gap = lambda g, at: F.transform(located(g, TERM), lambda s: F.struct(F.lower(s["hit"]).alias("term"), (s["start"] + at).alias("start"), (s["end"] + at).alias("end")))
+        return F.flatten(F.zip_with(f["gaps"], starts, of_gap))
+
+    pattern = PATTERNS["email"]
+    found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    return F.flatten(F.transform(F.array(found), outside))
 
 
 def _joined(spans: Column) -> Column:
@@ -126,9 +145,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
     base = rows.withColumn("base", base_spans(F.col("text")))
-    free = lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"]))
     nothing = F.expr("cast(array() as array<struct<term:string,start:int,end:int>>)")
-    base = base.withColumn("words", F.when(F.size("base") > 0, F.filter(_terms(F.col("text")), free)).otherwise(nothing)).drop("text")
+    base = base.withColumn("words", F.when(F.size("base") > 0, _terms(F.col("text"))).otherwise(nothing)).drop("text")
     base = cut(base.withColumn("row", F.monotonically_increasing_id()), "pii-base")
     spans = cut(_risky(rows, base), "pii-risky")
     places = base.where(F.size("words") > 0).select("row", F.explode("words").alias("w")).select("row", "w.*")
@@ -177,10 +195,21 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     held = {c: F.col(f"keep_{i}") for i, c in enumerate(docs.columns)}
     text = F.coalesce(held[text_col], F.lit(""))
 
-    def step(state: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.element_at(label, s["kind"] + 1))
-        return F.when(s["start"] >= state["at"], F.struct((-s["back"]).alias("at"), F.concat(state["out"], piece).alias("out"))).otherwise(state)
+    def step(part: Column, begin: Column):
+        def run(state: Column, s: Column) -> Column:
+            piece = F.array(F.substring(part, state["at"] - begin + 1, s["start"] - state["at"]), F.element_at(label, s["kind"] + 1))
+            return F.when(s["start"] >= state["at"], F.struct((-s["back"]).alias("at"), F.concat(state["out"], piece).alias("out"))).otherwise(state)
+
+        return run
+
+    def block(state: Column, spans: Column) -> Column:
+        # a block's part of the text is cut out once, as cutting counts characters from the start
+        part = F.substring(text, state["at"] + 1, F.array_max(F.transform(spans, lambda s: -s["back"])) - state["at"])
+        whole = F.transform(F.array(part), lambda p: F.aggregate(spans, F.struct(state["at"].alias("at"), F.expr("cast(array() as array<string>)").alias("out")), step(p, state["at"])))
+        joined = F.transform(whole, lambda w: F.struct(w["at"].alias("at"), F.concat(state["out"], F.array(F.array_join(w["out"], ""))).alias("out")))
+        return F.when(F.size(spans) > 0, F.element_at(joined, 1)).otherwise(state)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(order, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    blocks = F.flatten(F.transform(F.array(order), lambda o: F.transform(_block_numbers(o), lambda k: F.slice(o, k * STEP + 1, F.lit(STEP)))))
+    clean = F.aggregate(blocks, start, block, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
     return found.select(*[(F.when(held[c].isNotNull(), clean) if c == text_col else held[c]).alias(c) for c in docs.columns])
