@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -125,8 +126,39 @@ def test_edits_against_counting_again(vocabulary):
         for start, end, new in reversed(edits):
             text = text[:start] + new + text[end:]
         assert document.text == text and document.tokens == len(counter.encoding.encode_ordinary(text))
-        for below, above in zip(document.levels, document.levels[1:]):
-            assert [int(below[i : i + 2].sum()) for i in range(0, len(below), 2)] == above.tolist()
+        check_sums(document)
+
+
+def check_sums(document):
+    if document.levels:
+        assert document.levels[0] == ([sum(map(len, leaf)) for leaf in document.leaves], [int(document.counter.counts(leaf).sum()) for leaf in document.leaves])
+    for below, above in zip(document.levels, document.levels[1:]):
+        for b, a in zip(below, above, strict=True):
+            assert [sum(b[i : i + token_counts.FAN]) for i in range(0, len(b), token_counts.FAN)] == a
+
+
+def test_many_edits_of_a_long_text(vocabulary, prose):
+    counter, draw = token_counts.Counter(vocabulary), random.Random(5)
+    text = " ".join(f"{prose(4)} a{i}@x.org {prose(1)}" for i in range(8000))
+    edits = [(*m.span(), "[EMAIL]") for m in token_counts.EMAIL.finditer(text)]
+    document = token_counts.Document(text, counter)
+    document.edit(0, 0, "")  # grows the tree
+    before, began = document.encoded, time.perf_counter()
+    token_counts.apply_edits(document, edits)
+    took = time.perf_counter() - began
+    assert len(edits) == 8000 and document.encoded - before < 20 * len(edits)
+    assert document.tokens == len(counter.encoding.encode_ordinary(token_counts.EMAIL.sub("[EMAIL]", text)))
+    assert took < 5, took  # a fraction of a second; quadratic work took over a minute
+    check_sums(document)
+    text = document.text
+    for _ in range(300):  # again and again at one place, and everywhere
+        start = draw.choice([1000, draw.randint(0, len(text))])
+        end = min(len(text), start + draw.choice([0, 0, 3, 3000]))
+        new = draw.choice(["", " new", "x", "\n", prose(40)])
+        document.edit(start, end, new)
+        text = text[:start] + new + text[end:]
+    assert document.text == text and document.tokens == len(counter.encoding.encode_ordinary(text))
+    check_sums(document)
 
 
 def test_only_touched_regions_are_encoded(vocabulary, prose):
@@ -143,10 +175,10 @@ def test_only_touched_regions_are_encoded(vocabulary, prose):
 
 def test_recount(spark, vocabulary):
     counter = token_counts.Counter(vocabulary)
-    rows = EDGES + [(9, "write to kim@x.org or to lee@y.net now", "en", "a")]
+    rows = EDGES + [(9, "write to kim@x.org or to  lee@y.net now", "en", "a")]
     got = token_counts.recount(documents(spark, rows), vocabulary).collect()
     assert len(got) == len(rows)
     last = next(r for r in got if r.doc_id == 9)
-    assert last.n_edits == 2 and last.n_tokens_after == len(counter.encoding.encode_ordinary("write to [EMAIL] or to [EMAIL] now"))
+    assert last.n_edits == 4 and last.n_tokens_after == len(counter.encoding.encode_ordinary("write to [EMAIL] or to [EMAIL] now\n"))
     assert {(r.doc_id, r.n_tokens) for r in got} == {(i, len(counter.encoding.encode_ordinary(t or ""))) for i, t, *_ in rows}
     assert token_counts.recount(documents(spark, []), vocabulary).count() == 0
