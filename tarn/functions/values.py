@@ -52,12 +52,14 @@ def equal(a: Column, ca: C, b: Column, cb: C) -> Column:
 
 
 def compare_literal(op: str, col: Column, cls: C, value) -> Column | None:
-    """A comparison of a column with a literal of its class, in a form that reaches the scan; None if there is none.
+    """A comparison of a column with a literal of its class, or of two numbers, in a form that reaches the scan; None if there is none.
 
     ``>`` and ``>=`` are NULL for a NULL column, which a filter takes for false.
     """
     if cls is C.INT and isinstance(value, float):
         return _against_fraction(op, col, value)
+    if cls is C.FLOAT and isinstance(value, int):
+        return _against_whole(op, col, value)
     low = op in ("<", "<=")
     plain = {"<": col < value, "<=": col <= value, ">": col > value, ">=": col >= value, "=": col.eqNullSafe(F.lit(value)), "!=": ~col.eqNullSafe(F.lit(value))}[op]
     return (col.isNull() | plain) if low else plain
@@ -74,6 +76,18 @@ def _against_fraction(op: str, col: Column, value: float) -> Column | None:
     return compare_literal("<=" if op in ("<", "<=") else ">", col, C.INT, whole)
 
 
+def _against_whole(op: str, col: Column, value: int) -> Column | None:
+    """A float column against an integer: against the same double, or the doubles on its two sides if there is none (NaN stays above them)."""
+    near = float(value)
+    if int(near) == value:
+        return compare_literal(op, col, C.FLOAT, near)
+    if op in ("=", "!="):
+        return F.lit(op == "!=")
+    if op in ("<", "<="):
+        return compare_literal("<=", col, C.FLOAT, near if near < value else math.nextafter(near, -math.inf))
+    return compare_literal(">=", col, C.FLOAT, near if near > value else math.nextafter(near, math.inf))
+
+
 def truthy(col: Column, cls: C) -> Column:
     """Numbers other than zero and every text are true; NULL and blobs are false."""
     if cls.numeric:

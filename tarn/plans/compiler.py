@@ -91,7 +91,7 @@ class Compiler:
         if not (isinstance(left, tree.Name) and isinstance(right, tree.Literal)):
             return None
         found, cls = self.compile(left), constants.class_of(right.value)
-        if found.cls is cls or (found.cls is C.INT and cls is C.FLOAT):
+        if found.cls is cls or (found.cls.numeric and cls.numeric):
             return values.compare_literal(op, found.col, found.cls, right.value)
         return None
 
@@ -113,6 +113,8 @@ class Compiler:
         return Typed(col, C.INT, truth=True, raises=left.raises or right.raises)
 
     def _compare(self, expr: tree.Binary) -> Typed:
+        if (plain := self._plain(expr)) is not None:
+            return Typed(F.coalesce(plain, F.lit(False)), C.INT, truth=True)
         left, right = self.compile(expr.left), self.compile(expr.right)
         a, b = values.as_class(left.value, left.cls), values.as_class(right.value, right.cls)
         less = lambda x, cx, y, cy: values.less(x, cx, y, cy)
