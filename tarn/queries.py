@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import base64
 import re
 import sqlite3
-import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import closing
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import AnalysisError
+from .functions.classes import StorageClass, class_of
+from .render import row_text
 from .session import Engine
+from .sources.scratch import new_path
+from .sources.sqlite_file import SqliteFileSource
 
 _NULLS = "SELECT n_nationkey, n_name, nullif(n_regionkey, 2) AS r, nullif(n_name, 'CHINA') AS t FROM nation"
 
@@ -111,24 +117,94 @@ def insert_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.execute("SELECT * FROM region")
 
 
-def sqlite_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A database file made from nation, read through the file source."""
-    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").collect()
-    path = f"{tempfile.mkdtemp()}/nation.db"
-    with sqlite3.connect(path) as db:
-        db.execute("CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEXT NOT NULL, n_regionkey INT DEFAULT 0)")
+def as_files(spark: SparkSession, sf_dir: str, name: str, rowid: str, page_size: int = 4096, parts: int = 4) -> str:
+    """A driver table as a folder of database files, a file for each range of the column that gives the rowids."""
+    path = new_path(spark, f"{name}-files")
+    spark.dataSource.register(SqliteFileSource)
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = rows.select(*[F.col(f.name) for f in rows.schema.fields if class_of(f.dataType) is not StorageClass.OPAQUE])
+    rows = rows.repartitionByRange(parts, rowid).sortWithinPartitions(rowid)
+    rows.write.format("sqlite_file").mode("append").options(path=path, table=name, rowid=rowid, page_size=page_size).save()
+    return path
+
+
+def file_statement(name: str, rowid: str, statement: str, spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """A statement over a driver table that was written as database files."""
+    return Engine(spark).open_file(as_files(spark, sf_dir, name, rowid, **options)).execute(statement)
+
+
+def file_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of one file from the largest rowid down, numbered as they come."""
+    path = as_files(spark, sf_dir, "nation", "n_nationkey", parts=1)
+    rows = spark.read.format("sqlite_file").options(path=path, table="nation", order="desc").load()
+    return rows.select("n_nationkey", "n_name", (F.monotonically_increasing_id() + 1).alias("place"))
+
+
+def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of an index in its order, from a small file in memory (nation has 25 rows)."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").collect()
+    with closing(sqlite3.connect(":memory:")) as db:
+        db.execute("CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEXT, n_regionkey INT)")
+        db.execute("CREATE INDEX by_region ON nation (n_regionkey, n_name)")
         db.executemany("INSERT INTO nation VALUES (?, ?, ?)", [tuple(r) for r in rows])
-    db.close()
-    engine = Engine(spark).open_file(path)
-    return engine.execute("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey != 3")
+        db.commit()
+        data = base64.b64encode(db.serialize()).decode()
+    spark.dataSource.register(SqliteFileSource)
+    entries = spark.read.format("sqlite_file").options(data=data, index="by_region").load()
+    return entries.select("n_regionkey", "n_name", F.col("_rowid").alias("n_nationkey"), (F.monotonically_increasing_id() + 1).alias("place"))
+
+
+def insert_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which INSERTs the classes of a table's columns let through."""
+    engine, name = Engine(spark), f"made_{uuid.uuid4().hex[:12]}"
+    engine.execute(f"CREATE TABLE {name} (i INTEGER, f FLOAT, t TEXT)")
+    out = []
+    for values in ('1, 1.5, "x"', '1, 1, "x"', '1.5, 1.5, "x"', '"1", 1.5, "x"', "1, 1.5", "NULL, NULL, NULL"):
+        try:
+            engine.execute(f"INSERT INTO {name} VALUES ({values})")
+            out.append((values, 1))
+        except AnalysisError:
+            out.append((values, 0))
+    return spark.createDataFrame(out, "row string, stored bigint")
+
+
+def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns, declared types and classes of a table that CREATE TABLE made, as the catalog holds them."""
+    engine, name = Engine(spark), f"made_{uuid.uuid4().hex[:12]}"
+    engine.execute(f"CREATE TABLE {name} (id INTEGER PRIMARY KEY, name VARCHAR(20) NOT NULL, score FLOAT, d DECIMAL(10, 2))")
+    return spark.createDataFrame([c[:3] for c in Engine(spark).catalog.describe(name)], "column string, declared string, class string")
+
+
+def rendered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of region (5) as the shell prints them."""
+    rows = engine_for(spark, sf_dir, "FROM region").execute("SELECT *, r_regionkey / 2.0 AS half FROM region").toLocalIterator()
+    return spark.createDataFrame([(row_text(r),) for r in rows], "line string")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(run_statement, statement) for name, (statement, _) in STATEMENTS.items()}
-QUERIES |= {"create_insert_scan": create_insert_scan, "insert_registered": insert_registered, "sqlite_scan": sqlite_scan}
+QUERIES |= {"create_insert_scan": create_insert_scan, "insert_registered": insert_registered, "insert_checks": insert_checks, "catalog_columns": catalog_columns, "rendered_rows": rendered_rows}
+QUERIES |= {
+    "sqlite_scan": partial(file_statement, "nation", "n_nationkey", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey != 3"),
+    "file_seek": partial(file_statement, "orders", "o_orderkey", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 1000"),
+    "file_range": partial(file_statement, "orders", "o_orderkey", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey > 99.5 AND 2000 >= o_orderkey AND o_custkey != 7"),
+    "file_overflow": partial(file_statement, "documents", "doc_id", "SELECT doc_id, text, source FROM documents", page_size=1024),
+    "file_columns": partial(file_statement, "orders", "o_orderkey", "SELECT o_totalprice * 2 AS twice FROM orders WHERE o_orderstatus < 'O'"),
+    "file_reverse": file_reverse,
+    "file_index": file_index,
+}
 
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in STATEMENTS.items()}
 ORACLE_SQL |= {
     "create_insert_scan": "SELECT * FROM (VALUES (1::BIGINT, 'one', 1.5::DOUBLE, 1::BIGINT), (-2::BIGINT, 'two', -2.5::DOUBLE, 0::BIGINT)) AS v(id, name, score, positive)",
     "insert_registered": "SELECT * FROM region UNION ALL SELECT 99, 'NOWHERE'",
+    "insert_checks": "SELECT * FROM (VALUES ('1, 1.5, \"x\"', 1::BIGINT), ('1, 1, \"x\"', 0), ('1.5, 1.5, \"x\"', 0), ('\"1\", 1.5, \"x\"', 0), ('1, 1.5', 0), ('NULL, NULL, NULL', 1)) AS v(row, stored)",
+    "catalog_columns": "SELECT * FROM (VALUES ('id', 'INTEGER', 'INTEGER'), ('name', 'VARCHAR', 'TEXT'), ('score', 'FLOAT', 'REAL'), ('d', 'DECIMAL', 'BLOB')) AS v(\"column\", declared, \"class\")",
+    "rendered_rows": "SELECT r_regionkey || ', ' || r_name || ', ' || CASE WHEN r_regionkey % 2 = 0 THEN (r_regionkey // 2)::VARCHAR ELSE (r_regionkey / 2.0)::DOUBLE::VARCHAR END AS line FROM region",
+    "file_seek": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 1000",
+    "file_range": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey BETWEEN 100 AND 2000 AND o_custkey <> 7",
+    "file_overflow": "SELECT doc_id, text, source FROM documents",
+    "file_columns": "SELECT o_totalprice * 2 AS twice FROM orders WHERE o_orderstatus < 'O'",
+    "file_reverse": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey DESC) AS place FROM nation",
+    "file_index": "SELECT n_regionkey::BIGINT AS n_regionkey, n_name, n_nationkey::BIGINT AS n_nationkey, row_number() OVER (ORDER BY n_regionkey, n_name) AS place FROM nation",
     "sqlite_scan": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation WHERE n_regionkey <> 3",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -9,7 +11,7 @@ from .errors import AnalysisError
 from .operators import relational
 from .plans import tree
 from .plans.parser import parse
-from .sources.catalog import Catalog
+from .sources.catalog import Catalog, FileTable
 
 
 class Engine:
@@ -28,20 +30,28 @@ class Engine:
         self.catalog.register(name, df)
         return self
 
-    def open_file(self, path: str, **options) -> Engine:
-        """Register every table of a database file under its name."""
-        from .sources.sqlite_file import SqliteFileSource, table_names
-
-        self.spark.dataSource.register(SqliteFileSource)
-        for name in table_names(path):
-            self.register(name, self.spark.read.format("sqlite_file").options(path=path, table=name, **options).load())
+    def open_file(self, source: str | bytes, **options) -> Engine:
+        """Register every table of a database file, a folder of such files, or a small file in memory, under its name."""
+        from .sources import sqlite_file
+
+        self.spark.dataSource.register(sqlite_file.SqliteFileSource)
+        self.spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        where = {"data": base64.b64encode(source).decode()} if isinstance(source, bytes) else {"path": source}
+        first = sqlite_file.sources_of(where)[0]
+        for name in sqlite_file.table_names(first):
+            columns = sqlite_file.table_columns(first, name)[0]
+            rowid = sqlite_file.rowid_column(columns)
+            names = [c.name for c in columns]
+            if options.get("rowid") == "true":
+                names, rowid = [*names, "_rowid"], rowid or "_rowid"
+            self.catalog.register(name, FileTable(self.spark, {**where, "table": name, "pushdown": "true", **{k: str(v) for k, v in options.items()}}, names, rowid))
         return self
 
     def execute(self, sql: str) -> DataFrame:
         """Parse, check and run one statement."""
         statement = parse(sql)
         if isinstance(statement, tree.Select):
-            return relational.select(self.catalog.table(statement.table), statement)
+            return relational.select(self.catalog.table(statement.table, statement), statement)
         if isinstance(statement, tree.Insert):
             self.catalog.table(statement.table)
             columns = self.catalog.columns(statement.table)

@@ -10,30 +10,50 @@ from pyspark.sql import types as T
 from ..errors import AnalysisError
 from ..functions.classes import affinity, class_of
 from ..operators.relational import spark_type
-from ..plans import tree
+from ..plans import needs, tree
 
 DDL, COLUMNS = "engine.ddl", "engine.columns"
 
 
+class FileTable:
+    """A table of a database file: a statement reads the columns and the range of rowids that it needs."""
+
+    def __init__(self, spark: SparkSession, options: dict[str, str], columns: list[str], rowid: str | None):
+        self.spark, self.options, self.columns, self.rowid = spark, options, columns, rowid
+
+    def frame(self, statement: tree.Select | None = None) -> DataFrame:
+        options = dict(self.options)
+        wanted = needs.columns(statement) if statement else None
+        if wanted is not None and not any("," in c for c in self.columns):
+            options["columns"] = ",".join([c for c in self.columns if c in wanted] or self.columns[:1])
+        low, high = needs.rowids(statement.where, self.rowid) if statement else (needs.LOW, needs.HIGH)
+        low, high = max(low, int(options.get("rowid_from", low))), min(high, int(options.get("rowid_to", high)))
+        if (low, high) != (needs.LOW, needs.HIGH):
+            options |= {"rowid_from": str(low), "rowid_to": str(high)}
+        return self.spark.read.format("sqlite_file").options(**options).load()
+
+
 class Catalog:
     """Names are case-insensitive. A registered DataFrame hides a stored table of its name."""
 
     def __init__(self, spark: SparkSession, database: str = "default"):
         self.spark, self.database = spark, database
-        self.registered: dict[str, DataFrame] = {}
+        self.registered: dict[str, DataFrame | FileTable] = {}
 
     def _stored(self, name: str) -> str:
         return f"`{self.database}`.`{name.lower()}`"
 
-    def register(self, name: str, df: DataFrame) -> None:
+    def register(self, name: str, df: DataFrame | FileTable) -> None:
         self.registered[name.lower()] = df
 
     def exists(self, name: str) -> bool:
         return name.lower() in self.registered or self.spark.catalog.tableExists(f"{self.database}.{name.lower()}")
 
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, statement: tree.Select | None = None) -> DataFrame:
+        """A whole table, or as much of it as a statement needs."""
         if name.lower() in self.registered:
-            return self.registered[name.lower()]
+            found = self.registered[name.lower()]
+            return found.frame(statement) if isinstance(found, FileTable) else found
         if not self.exists(name):
             raise AnalysisError(f"no table named {name!r}")
         return self.spark.table(self._stored(name))
@@ -70,10 +90,11 @@ class Catalog:
 
     def insert(self, name: str, columns: list[tree.ColumnDef], row: list) -> None:
         if name.lower() in self.registered:
-            schema = self.registered[name.lower()].schema
+            held = self.table(name)
+            schema = held.schema
             new = self.spark.createDataFrame([row], T.StructType([T.StructField(c.name, spark_type(c)) for c in columns]))
             new = new.select(*[new[c.name].cast(f.dataType).alias(f.name) for c, f in zip(columns, schema.fields, strict=True)])
-            self.registered[name.lower()] = self.registered[name.lower()].unionByName(new)
+            self.registered[name.lower()] = held.unionByName(new)
             return
         schema = T.StructType([T.StructField(c.name, spark_type(c)) for c in columns])
         self.spark.createDataFrame([row], schema).write.insertInto(f"{self.database}.{name.lower()}")

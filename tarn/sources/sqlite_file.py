@@ -1,227 +1,49 @@
 """A Spark data source for single-file databases in the SQLite 3 format.
 
-``spark.read.format("sqlite_file").options(path=..., table=...)`` reads one table. Subtrees
-of the table's tree are partitions (at least SPLITS, if there are as many), and their pages are read only when a task
-runs. ``rowid_from`` and ``rowid_to`` (both inclusive) read a range of rowids and no subtree outside of it. Options: ``mode`` is ``strict`` (a value that does not fit its column's class raises) or ``dynamic``
-(every column is a struct of tag, i, d, t and b that orders by class, then value); ``rowid`` = ``true`` adds
-``_rowid``. A path may be a URI of a file system that pyarrow knows.
-
-Stored integers keep their sign; an INTEGER PRIMARY KEY reads as the rowid; rows
-that are shorter than the schema end in NULL. Text must be UTF-8.
+``spark.read.format("sqlite_file").options(path=..., table=...)`` reads one table, of a file or of all files (``*.db``) of a folder.
+Subtrees of the table's trees are partitions (at least SPLITS a file, if there are as many), and their pages are read only when a task
+runs; rows leave it as Arrow batches. Options:
+
+* ``columns``: names, separated by commas; only these are decoded;
+* ``rowid_from`` and ``rowid_to`` (both inclusive): a range of rowids; no page outside of it is read;
+* ``index`` instead of ``table``: the entries of an index in its order, the key's columns and ``_rowid``;
+* ``mode``: ``strict`` (a value that does not fit its column's class raises) or ``dynamic``
+  (every column is a struct of tag, i, d, t and b that orders by class, then value);
+* ``rowid`` = ``true`` adds ``_rowid``;
+* ``order`` = ``desc``: partitions, and the rows in them, from the largest rowid down;
+* ``pushdown`` = ``true``, with spark.sql.python.filterPushdown.enabled: filters on the rowid become ranges.
+
+A path may be a URI of a file system that pyarrow knows; all executors must see it. Instead of one, ``data`` may hold a small file itself, in base 64.
+``Engine.execute`` sets columns and ranges from the statement.
+
+An INTEGER PRIMARY KEY reads as the rowid; rows that are shorter than the schema end in NULL.
+
+``df.write.format("sqlite_file").options(path=folder, table=...)`` writes a file for each partition, with rowids from 1, or
+with those of the integer column that the option ``rowid`` names, in whose order the rows of a partition must be.
 """
 
 from __future__ import annotations
 
+import base64
 import re
-import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import FileFormatError
-from ..functions.classes import SPARK_TYPES, StorageClass, affinity
+from ..functions.classes import SPARK_TYPES, StorageClass, affinity, class_of
+from .file_format import ROWID_MAX, ROWID_MIN, FileWriter, Pages, Split, record
 
-MAGIC = b"SQLite format 3\x00"
-LEAF, INTERIOR = 0x0D, 0x05
-ROWID_MIN, ROWID_MAX = -(2**63), 2**63 - 1
-SPLITS = 64
+BATCH = 4096
 DYNAMIC = T.StructType([T.StructField("tag", T.ByteType()), T.StructField("i", T.LongType()), T.StructField("d", T.DoubleType()), T.StructField("t", T.StringType()), T.StructField("b", T.BinaryType())])
 
 
-def varint(data: bytes, at: int) -> tuple[int, int]:
-    """An integer of 1 to 9 bytes, seven bits each and eight in the ninth; and where it ends."""
-    value = 0
-    for k in range(9):
-        if at + k >= len(data):
-            raise FileFormatError("an integer runs over the end of its page")
-        byte = data[at + k]
-        if k == 8:
-            return value << 8 | byte, at + 9
-        value = value << 7 | byte & 0x7F
-        if byte < 0x80:
-            return value, at + k + 1
-    raise AssertionError
-
-
-def signed(value: int) -> int:
-    """A rowid from its 64 bits."""
-    return value - (value >> 63 << 64)
-
-
-@dataclass(frozen=True)
-class Split(InputPartition):
-    """A subtree and the rowids that it may hold."""
-
-    page: int
-    low: int
-    high: int
-
-
-@dataclass(frozen=True)
-class Header:
-    page_size: int
-    usable: int
-    encoding: int
-
-    @classmethod
-    def parse(cls, data: bytes) -> Header:
-        """The first 100 bytes, checked."""
-        if len(data) < 100 or data[:16] != MAGIC:
-            raise FileFormatError("not a database file")
-        (size,) = struct.unpack_from(">H", data, 16)
-        size = 65536 if size == 1 else size
-        if size < 512 or size & (size - 1):
-            raise FileFormatError(f"page size {size}")
-        if data[18] not in (1, 2) or data[19] not in (1, 2):
-            raise FileFormatError("unknown format version")
-        if tuple(data[21:24]) != (64, 32, 32):
-            raise FileFormatError("payload fractions are not 64, 32 and 32")
-        schema, encoding = struct.unpack_from(">I", data, 44)[0], struct.unpack_from(">I", data, 56)[0]
-        if schema > 4 or encoding > 3:
-            raise FileFormatError("unknown schema format or encoding")
-        if any(data[72:92]):
-            raise FileFormatError("reserved bytes are set")
-        if encoding > 1:
-            raise FileFormatError("only UTF-8 databases can be read")
-        if size - data[20] < 480:
-            raise FileFormatError("pages have too little usable space")
-        return cls(size, size - data[20], encoding)
-
-
-class Pages:
-    """Random access to the pages of a file."""
-
-    def __init__(self, path: str):
-        if re.match(r"[a-z][a-z0-9+.-]+://", path):
-            from pyarrow import fs
-
-            system, inner = fs.FileSystem.from_uri(path)
-            self.file = system.open_input_file(inner)
-        else:
-            self.file = open(path, "rb")  # noqa: SIM115
-        self.header = Header.parse(self.file.read(100))
-
-    def __enter__(self) -> Pages:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self.file.close()
-
-    def page(self, number: int) -> bytes:
-        if number < 1:
-            raise FileFormatError(f"page {number}")
-        self.file.seek((number - 1) * self.header.page_size)
-        data = self.file.read(self.header.page_size)
-        if len(data) < self.header.page_size:
-            raise FileFormatError(f"page {number} lies beyond the end of the file")
-        return data
-
-    def cells(self, number: int) -> tuple[int, bytes, list[int], int]:
-        """Kind of a page, its bytes, the places of its cells, and its right-most child."""
-        data = self.page(number)
-        at = 100 if number == 1 else 0
-        kind = data[at]
-        if kind not in (LEAF, INTERIOR):
-            raise FileFormatError(f"page {number} is no page of a table (kind {kind})")
-        (count,) = struct.unpack_from(">H", data, at + 3)
-        wide = 12 if kind == INTERIOR else 8
-        if at + wide + 2 * count > len(data):
-            raise FileFormatError(f"page {number} has too many cells")
-        places = list(struct.unpack_from(f">{count}H", data, at + wide))
-        if any(p >= len(data) for p in places):
-            raise FileFormatError(f"page {number} has a cell outside of it")
-        right = struct.unpack_from(">I", data, at + 8)[0] if kind == INTERIOR else 0
-        return kind, data, places, right
-
-    def children(self, number: int) -> list[tuple[int, int]]:
-        """(page, largest rowid) of an interior page's children, in order; none of a leaf."""
-        kind, data, places, right = self.cells(number)
-        if kind != INTERIOR:
-            return []
-        below = [(struct.unpack_from(">I", data, p)[0], signed(varint(data, p + 4)[0])) for p in places]
-        return [*below, (right, ROWID_MAX)]
-
-    def splits(self, root: int, want: int = SPLITS) -> list[Split]:
-        """Subtrees that cover a tree, with their ranges of rowids; at least ``want`` if the tree has as many pages below one level."""
-        out = [Split(root, ROWID_MIN, ROWID_MAX)]
-        while len(out) < want:
-            deeper = []
-            for s in out:
-                low, children = s.low, self.children(s.page)
-                if not children:
-                    return out
-                for page, high in children:
-                    deeper.append(Split(page, low, min(high, s.high)))
-                    low = min(high, ROWID_MAX - 1) + 1
-            out = deeper
-        return out
-
-    def rows(self, root: int, depth: int = 0) -> Iterator[tuple[int, list]]:
-        """(rowid, values) of a tree in order of rowid."""
-        if depth > 64:
-            raise FileFormatError("a tree that contains itself")
-        kind, data, places, _ = self.cells(root)
-        if kind == INTERIOR:
-            for child, _ in self.children(root):
-                yield from self.rows(child, depth + 1)
-            return
-        for place in places:
-            size, at = varint(data, place)
-            rowid, at = varint(data, at)
-            yield signed(rowid), record(self._payload(data, at, size))
-
-    def _payload(self, data: bytes, at: int, size: int) -> bytes:
-        usable = self.header.usable
-        if size <= usable - 35:
-            if at + size > len(data):
-                raise FileFormatError("a row runs over the end of its page")
-            return data[at : at + size]
-        least = (usable - 12) * 32 // 255 - 23
-        local = least + (size - least) % (usable - 4)
-        local = least if local > usable - 35 else local
-        parts, left = [data[at : at + local]], size - local
-        (following,) = struct.unpack_from(">I", data, at + local)
-        while left > 0:
-            page = self.page(following)
-            (following,) = struct.unpack_from(">I", page)
-            parts.append(page[4 : 4 + min(left, usable - 4)])
-            left -= len(parts[-1])
-        return b"".join(parts)
-
-
-def record(data: bytes) -> list:
-    """The values of a row."""
-    wide, at = varint(data, 0)
-    kinds = []
-    while at < wide:
-        kind, at = varint(data, at)
-        kinds.append(kind)
-    out, at = [], wide
-    for kind in kinds:
-        if kind == 0:
-            out.append(None)
-            continue
-        if kind in (8, 9):
-            out.append(kind - 8)
-            continue
-        if kind in (10, 11):
-            raise FileFormatError("reserved kind of value")
-        size = (0, 1, 2, 3, 4, 6, 8, 8)[kind] if kind < 8 else (kind - 12) // 2
-        part = data[at : at + size]
-        if len(part) < size:
-            raise FileFormatError("a value runs over the end of its row")
-        at += size
-        if kind <= 6:
-            out.append(int.from_bytes(part, "big", signed=True))
-        elif kind == 7:
-            out.append(struct.unpack(">d", part)[0])
-        else:
-            out.append(part.decode() if kind % 2 else bytes(part))
-    return out
-
-
 @dataclass(frozen=True)
 class Column:
     name: str
@@ -266,37 +88,86 @@ def parse_ddl(sql: str) -> list[Column]:
     return out
 
 
-def master(pages: Pages) -> list[tuple[str, int, str]]:
-    """(name, root page, DDL) of the tables."""
+def master(pages: Pages, kind: str = "table") -> list[tuple[str, int, str, str]]:
+    """(name, root page, DDL, table) of the tables, or of the indexes."""
     rows = (values for _, values in pages.rows(1))
-    return [(v[1], v[3], v[4]) for v in rows if v[0] == "table" and v[4] and v[3] and not v[1].startswith("sqlite_")]
+    return [(v[1], v[3], v[4], v[2]) for v in rows if v[0] == kind and v[4] and v[3] and not v[1].startswith("sqlite_")]
+
+
+def files_of(path: str) -> list[str]:
+    """The file itself, or the files of a folder in order."""
+    from pyarrow import fs
 
+    remote = re.match(r"[a-z][a-z0-9+.-]*:/", path)
+    system, inner = fs.FileSystem.from_uri(path) if remote else (fs.LocalFileSystem(), path)
+    if system.get_file_info(inner).type != fs.FileType.Directory:
+        return [path]
+    found = sorted(f.path for f in system.get_file_info(fs.FileSelector(inner)) if f.path.endswith(".db") and not f.base_name.startswith("."))
+    if not found:
+        raise FileFormatError(f"no database file in {path}")
+    return [f"{path.rstrip('/')}/{f.rsplit('/', 1)[-1]}" for f in found]
 
-def table_names(path: str) -> list[str]:
-    with Pages(path) as pages:
-        return [name.lower() for name, _, _ in master(pages)]
 
+def sources_of(options: dict) -> list[str | bytes]:
+    return [base64.b64decode(options["data"])] if "data" in options else files_of(options["path"])
 
-def _fit(value, cls: StorageClass, column: Column):
-    """A value for a column of a class; integers become floats, as the format stores whole floats as integers."""
-    if value is None:
-        return None
-    if cls is StorageClass.FLOAT and isinstance(value, int):
-        return float(value)
-    wanted = {StorageClass.INT: int, StorageClass.FLOAT: float, StorageClass.TEXT: str, StorageClass.BLOB: bytes}[cls]
-    if not isinstance(value, wanted):
-        raise FileFormatError(f"column {column.name!r} stores {cls.value} but holds {value!r:.60}; mode=dynamic reads such columns")
-    return value
 
+def table_names(source: str | bytes) -> list[str]:
+    with Pages(source) as pages:
+        return [name.lower() for name, *_ in master(pages)]
 
-def _tagged(value) -> tuple | None:
-    if value is None:
-        return None
-    if isinstance(value, int):
-        return (1, value, None, None, None)
-    if isinstance(value, float):
-        return (1, None, value, None, None)
-    return (2, None, None, value, None) if isinstance(value, str) else (3, None, None, None, value)
+
+def rowid_column(columns: list[Column]) -> str | None:
+    return next((c.name for c in columns if c.is_rowid), None)
+
+
+def table_columns(source: str | bytes, table: str) -> tuple[list[Column], int]:
+    """Columns and root page of a table."""
+    with Pages(source) as pages:
+        for name, root, sql, _ in master(pages):
+            if name.lower() == table.lower():
+                return parse_ddl(sql), root
+    raise FileFormatError(f"no table named {table!r}")
+
+
+def index_columns(source: str | bytes, index: str) -> tuple[list[Column], int]:
+    """Columns of an index's key, and its root page."""
+    with Pages(source) as pages:
+        for name, root, sql, table in master(pages, "index"):
+            if name.lower() == index.lower():
+                held = {c.name: c for c in table_columns(source, table)[0]}
+                inside = re.search(r"\bON\b[^(]*\((.*)\)", sql, re.IGNORECASE | re.DOTALL)[1]
+                names = [re.sub(r"\s+(ASC|DESC|COLLATE\s+\w+)\b", "", part, flags=re.IGNORECASE).strip().strip("\"'`[]").lower() for part in parts_of(inside)]
+                if re.search(r"\b(DESC|COLLATE)\b", inside, re.IGNORECASE) or not set(names) <= set(held):
+                    raise FileFormatError(f"index {index!r} is not over plain columns in ascending order")
+                return [Column(n, held[n].type_name) for n in names], root
+    raise FileFormatError(f"no index named {index!r}")
+
+
+@dataclass(frozen=True)
+class FilePart(InputPartition):
+    """A subtree of one of the files."""
+
+    file: int
+    split: Split
+
+
+def _array(values: list, cls: StorageClass, column: Column) -> pa.Array:
+    """Values of a column of a class; integers become floats, as the format stores whole floats as integers."""
+    wanted, kind = {StorageClass.INT: (int, pa.int64()), StorageClass.FLOAT: (float, pa.float64()), StorageClass.TEXT: (str, pa.string()), StorageClass.BLOB: (bytes, pa.binary())}[cls]
+    held = set(map(type, values)) - {type(None), wanted}
+    if cls is StorageClass.FLOAT and held == {int}:
+        values = [float(v) if isinstance(v, int) else v for v in values]
+    elif held:
+        odd = next(v for v in values if v is not None and not isinstance(v, wanted))
+        raise FileFormatError(f"column {column.name!r} stores {cls.value} but holds {odd!r:.60}; mode=dynamic reads such columns")
+    return pa.array(values, kind)
+
+
+def _tagged(values: list) -> pa.Array:
+    kinds = [None if v is None else 1 if isinstance(v, (int, float)) else 2 if isinstance(v, str) else 3 for v in values]
+    parts = [pa.array([v if isinstance(v, cls) else None for v in values], kind) for cls, kind in ((int, pa.int64()), (float, pa.float64()), (str, pa.string()), (bytes, pa.binary()))]
+    return pa.StructArray.from_arrays([pa.array(kinds, pa.int8()), *parts], ["tag", "i", "d", "t", "b"], mask=pa.array([k is None for k in kinds]))
 
 
 class SqliteFileSource(DataSource):
@@ -306,41 +177,176 @@ class SqliteFileSource(DataSource):
     def name(cls) -> str:
         return "sqlite_file"
 
-    def _table(self) -> tuple[list[Column], list[Split]]:
-        with Pages(self.options["path"]) as pages:
-            for name, root, sql in master(pages):
-                if name.lower() == self.options["table"].lower():
-                    return parse_ddl(sql), pages.splits(root)
-        raise FileFormatError(f"no table named {self.options['table']!r}")
+    def _columns(self) -> list[Column]:
+        """The columns to read, in order."""
+        source = sources_of(self.options)[0]
+        held = index_columns(source, self.options["index"])[0] if "index" in self.options else table_columns(source, self.options["table"])[0]
+        if "columns" not in self.options:
+            return held
+        wanted = [n for n in self.options["columns"].lower().split(",") if n]
+        return [c for c in held if c.name in wanted]
 
     def schema(self) -> T.StructType:
         dynamic = self.options.get("mode", "strict") == "dynamic"
-        fields = [T.StructField(c.name, DYNAMIC if dynamic else SPARK_TYPES[affinity(c.type_name or "BLOB")]) for c in self._table()[0]]
-        if self.options.get("rowid", "false").lower() == "true":
+        fields = [T.StructField(c.name, DYNAMIC if dynamic else SPARK_TYPES[affinity(c.type_name or "BLOB")]) for c in self._columns()]
+        if "index" in self.options or self.options.get("rowid", "false").lower() == "true":
             fields.append(T.StructField("_rowid", T.LongType()))
         return T.StructType(fields)
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        columns, splits = self._table()
-        low, high = int(self.options.get("rowid_from", ROWID_MIN)), int(self.options.get("rowid_to", ROWID_MAX))
-        splits = [Split(s.page, max(low, s.low), min(high, s.high)) for s in splits if s.low <= high and s.high >= low]
-        return _Reader(self.options["path"], columns, splits, self.options.get("mode", "strict") == "dynamic", len(schema.fields) > len(columns))
+        if "index" in self.options:
+            return _IndexReader(self.options, self._columns(), schema)
+        kind = _PushingReader if self.options.get("pushdown", "false").lower() == "true" else _Reader
+        return kind(self.options, self._columns(), schema)
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options["path"], self.options["table"], schema, overwrite, int(self.options.get("page_size", 4096)), self.options.get("rowid"))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, columns: list[Column], splits: list[Split], dynamic: bool, rowid: bool):
-        self.path, self.columns, self.splits, self.dynamic, self.rowid = path, columns, splits, dynamic, rowid
+    def __init__(self, options, columns: list[Column], schema: T.StructType):
+        self.sources, self.table, self.columns, self.schema = sources_of(options), options.get("table"), columns, schema
+        self.low, self.high = int(options.get("rowid_from", ROWID_MIN)), int(options.get("rowid_to", ROWID_MAX))
+        self.dynamic, self.reverse = options.get("mode", "strict") == "dynamic", options.get("order", "asc").lower() == "desc"
+
+    def partitions(self) -> list[InputPartition]:
+        out = []
+        for k, source in enumerate(self.sources):
+            root = table_columns(source, self.table)[1]
+            with Pages(source) as pages:
+                out += [FilePart(k, Split(s.page, max(self.low, s.low), min(self.high, s.high))) for s in pages.splits(root) if s.low <= self.high and s.high >= self.low]
+        return out[::-1] if self.reverse else out
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return
+        split, source = partition.split, self.sources[partition.file]
+        number = {c.name: k for k, c in enumerate(table_columns(source, self.table)[0])}
+        wanted = [number[c.name] for c in self.columns]
+        with Pages(source) as pages:
+            rowids, rows = [], []
+            for rowid, row in pages.raw_rows(split.page, split.low, split.high, self.reverse):
+                rowids.append(rowid)
+                rows.append(record(row, wanted))
+                if len(rows) == BATCH:
+                    yield self._batch(rowids, rows)
+                    rowids, rows = [], []
+            if rows:
+                yield self._batch(rowids, rows)
+
+    def _batch(self, rowids: list[int], rows: list[list]) -> pa.RecordBatch:
+        arrays = []
+        for column, values in zip(self.columns, zip(*rows) if self.columns else (), strict=True):
+            values = [r if v is None else v for r, v in zip(rowids, values)] if column.is_rowid else list(values)
+            arrays.append(_tagged(values) if self.dynamic else _array(values, affinity(column.type_name or "BLOB"), column))
+        if len(self.schema.fields) > len(self.columns):
+            arrays.append(pa.array(rowids, pa.int64()))
+        return pa.RecordBatch.from_arrays(arrays, schema=to_arrow_schema(self.schema))
+
+
+class _PushingReader(_Reader):
+    def pushFilters(self, filters: list[Filter]):
+        """Ranges of the rowid from filters on it; Spark applies all filters again."""
+        names = {"_rowid", rowid_column(self.columns)}
+        for f in filters:
+            value = getattr(f, "value", None)
+            if len(getattr(f, "attribute", ())) == 1 and f.attribute[0] in names and isinstance(value, int):
+                if isinstance(f, (EqualTo, EqualNullSafe, GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, EqualNullSafe, LessThan, LessThanOrEqual)):
+                    self.high = min(self.high, value - isinstance(f, LessThan))
+            yield f
+
+
+class _IndexReader(_Reader):
+    """An index is read by one task a file, in its order."""
+
+    def __init__(self, options, columns: list[Column], schema: T.StructType):
+        super().__init__(options, columns, schema)
+        self.index = options["index"]
 
     def partitions(self) -> list[InputPartition]:
-        return list(self.splits)
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        classes = [affinity(c.type_name or "BLOB") for c in self.columns]
-        with Pages(self.path) as pages:
-            for rowid, values in pages.rows(partition.page) if partition else ():
-                if not partition.low <= rowid <= partition.high:
-                    continue
-                values += [None] * (len(self.columns) - len(values))
-                row = [rowid if c.is_rowid and v is None else v for c, v in zip(self.columns, values, strict=False)]
-                out = [_tagged(v) for v in row] if self.dynamic else [_fit(v, cls, c) for v, cls, c in zip(row, classes, self.columns, strict=True)]
-                yield (*out, rowid) if self.rowid else tuple(out)
+        return [FilePart(k, Split(index_columns(source, self.index)[1], ROWID_MIN, ROWID_MAX)) for k, source in enumerate(self.sources)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return
+        held = [c.name for c in index_columns(self.sources[partition.file], self.index)[0]]
+        wanted = [held.index(c.name) for c in self.columns]
+        with Pages(self.sources[partition.file]) as pages:
+            rowids, rows = [], []
+            for entry in pages.entries(partition.split.page):
+                rowids.append(entry[-1])
+                rows.append([entry[k] for k in wanted])
+                if len(rows) == BATCH:
+                    yield self._batch(rowids, rows)
+                    rowids, rows = [], []
+            if rows:
+                yield self._batch(rowids, rows)
+
+
+class _Writer(DataSourceWriter):
+    """A file for each partition; files of a failed job are deleted."""
+
+    def __init__(self, path: str, table: str, schema: T.StructType, overwrite: bool, page_size: int, rowid: str | None = None):
+        self.path, self.table, self.overwrite, self.page_size = path.rstrip("/"), table, overwrite, page_size
+        quoted = lambda name: '"' + name.replace('"', '""') + '"'
+        self.classes = [class_of(f.dataType) for f in schema.fields]
+        if StorageClass.OPAQUE in self.classes:
+            raise FileFormatError("only numbers, text and binary columns can be written")
+        names = [f.name for f in schema.fields]
+        self.key = None if rowid is None else names.index(rowid)
+        if rowid is not None and self.classes[self.key] is not StorageClass.INT:
+            raise FileFormatError("rowids are integers")
+        keyed = [" PRIMARY KEY" if k == self.key else "" for k in range(len(names))]
+        self.ddl = f"CREATE TABLE {quoted(table)} ({', '.join(f'{quoted(n)} {c.value}{key}' for n, c, key in zip(names, self.classes, keyed, strict=True))})"
+
+    def _system(self):
+        from pyarrow import fs
+
+        remote = re.match(r"[a-z][a-z0-9+.-]*:/", self.path)
+        return fs.FileSystem.from_uri(self.path) if remote else (fs.LocalFileSystem(), self.path)
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        file = FileWriter(self.page_size)
+        file.table(self.table, self.ddl, map(self._row, enumerate(iterator, 1)))
+        system, folder = self._system()
+        system.create_dir(folder, recursive=True)
+        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.db"
+        with system.open_output_stream(f"{folder}/.{name}") as out:
+            out.write(file.finish())
+        return Written(name)
+
+    def _row(self, numbered) -> tuple[int, list]:
+        number, row = numbered
+        values = [int(v) if isinstance(v, bool) else v for v in row]
+        if self.key is not None:
+            number, values[self.key] = values[self.key], None
+        return number, values
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, folder = self._system()
+        if self.overwrite:
+            for old in self._listed():
+                if old.path.endswith(".db") and not old.base_name.startswith("."):
+                    system.delete_file(old.path)
+        for m in messages:
+            if m is not None:
+                system.move(f"{folder}/.{m.name}", f"{folder}/{m.name}")
+
+    def _listed(self):
+        from pyarrow import fs
+
+        system, folder = self._system()
+        return system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, folder = self._system()
+        for m in messages:
+            if m is not None:
+                system.delete_file(f"{folder}/.{m.name}")
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    name: str

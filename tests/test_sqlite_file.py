@@ -1,10 +1,15 @@
+import os
+import random
 import sqlite3
+from contextlib import closing
 
 import pytest
 
 from tarn.errors import FileFormatError
 from tarn.session import Engine
-from tarn.sources.sqlite_file import Pages, parse_ddl, record, varint
+from tarn.plans.parser import parse
+from tarn.sources.file_format import FileWriter, Pages, encode_record, encode_varint, record, signed, varint
+from tarn.sources.sqlite_file import SqliteFileSource, master, parse_ddl
 
 
 def database(path, *statements, page_size=4096, many=()):
@@ -90,23 +95,24 @@ def test_bad_files(tmp_path):
 
 
 def test_varint_and_record():
-    def encode(n):
-        if n >= 1 << 56:
-            return bytes([n >> 8 + 7 * k & 0x7F | 0x80 for k in reversed(range(8))] + [n & 0xFF])
-        out = [n & 0x7F]
-        while n := n >> 7:
-            out.append(n & 0x7F | 0x80)
-        return bytes(reversed(out))
-
-    for n in [*range(300), 2**14 - 1, 2**14, 2**32 - 1, 2**56 - 1, 2**56, 2**64 - 1]:
-        assert varint(encode(n), 0) == (n, len(encode(n)))
+    for n in [*range(300), 2**14 - 1, 2**14, 2**32 - 1, 2**56 - 1, 2**56, 2**63, 2**64 - 1]:
+        data = encode_varint(n)
+        assert varint(data, 0) == (n, len(data)) and len(data) == min(9, max(1, -(-n.bit_length() // 7)))
+    assert signed(varint(encode_varint(-5), 0)[0]) == -5
     with pytest.raises(FileFormatError):
         varint(b"\x80", 0)
     assert record(bytes([4, 8, 9, 1, 0xFF])) == [0, 1, -1]
+    for bad in ([2, 10], [2, 20, 1], [9, 1]):
+        with pytest.raises(FileFormatError):
+            record(bytes(bad))
+    for width in (1, 2, 3, 4, 6, 8):
+        for n in (-(1 << 8 * width - 1), (1 << 8 * width - 1) - 1):
+            assert record(encode_record([n])) == [n]
+    row = [None, 0, 1, -1, 2**40, 1.5, "é" * 200, b"\x00" * 9, "", b""] + [None] * 200
+    assert record(encode_record(row)) == row
+    assert record(encode_record(row), [6, 0, 300]) == ["é" * 200, None, None]
     with pytest.raises(FileFormatError):
-        record(bytes([2, 10]))
-    with pytest.raises(FileFormatError):
-        record(bytes([2, 20, 1]))
+        encode_record([2**63])
 
 
 def test_ddl():
@@ -114,3 +120,96 @@ def test_ddl():
     assert [(c.name, c.type_name, c.is_rowid) for c in got] == [("id", "INTEGER", True), ('t"q', "DOUBLE PRECISION", False), ("n", "DECIMAL", False)]
     with pytest.raises(FileFormatError):
         parse_ddl("CREATE TABLE x (a INT PRIMARY KEY) WITHOUT ROWID")
+
+
+def tall(path, n=3000):
+    rows = [(7 * i, "x" * (i % 60), i % 11) for i in range(-n // 2, n // 2)]
+    draw = random.Random(1)
+    return rows, database(path, "CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT, k INT)", "CREATE INDEX i ON t (k, name)", page_size=512, many=[("INSERT INTO t VALUES (?,?,?)", draw.sample(rows, len(rows)))])
+
+
+def test_cursors(tmp_path):
+    rows, path = tall(tmp_path / "c.db")
+    with Pages(path) as pages:
+        root = next(r for n, r, *_ in master(pages) if n == "t")
+        assert [r for r, _ in pages.rows(root, reverse=True)] == [i for i, *_ in reversed(rows)]
+        for probe in (rows[0][0], rows[-1][0], 0, 7 * 1234):
+            assert pages.seek(root, probe) == [None, *next(r[1:] for r in rows if r[0] == probe)]
+            assert pages.seek(root, probe + 1) is None
+        assert [r for r, _ in pages.rows(root, -50, 50, reverse=True)] == [i for i, *_ in reversed(rows) if -50 <= i <= 50]
+        assert pages.count * 512 == os.path.getsize(path) and len(pages.page(2)) == 512 and pages.header.page_count == pages.count
+        leaf = pages.splits(root, 10**6)[0].page
+        assert [r for r, _ in pages.page_rows(pages.parse(leaf))] == [i for i, *_ in rows[: len(pages.parse(leaf).places)]]
+    seen = []
+    with Pages(open(path, "rb").read()) as pages:  # in memory, and only the pages of a path are read
+        pages.page = lambda n, own=pages.page: seen.append(n) or own(n)
+        pages.seek(root, 700)
+    assert 2 <= len(seen) <= 5
+
+
+def test_index(spark, tmp_path):
+    rows, path = tall(tmp_path / "i.db")
+    with Pages(path) as pages:
+        root = next(r for n, r, *_ in master(pages, "index") if n == "i")
+        want = sorted([k, name, i] for i, name, k in rows)
+        assert list(pages.entries(root)) == want
+        for key in ((3,), (3, "xx"), (10, "x" * 59), (11,), (None,), (-1, "")):
+            assert pages.find(root, key) == [e[2] for e in want if tuple(e[: len(key)]) == key]
+        assert list(pages.entries(root, (2, "xxx"), (4,))) == [e for e in want if e[:2] >= [2, "xxx"] and e[0] <= 4]
+        with pytest.raises(FileFormatError):
+            list(pages.raw_rows(root))
+    spark.dataSource.register(SqliteFileSource)
+    got = spark.read.format("sqlite_file").options(path=path, index="i").load().collect()
+    assert [list(r) for r in got] == want
+
+
+def test_overflow_chains_end_with_their_row(tmp_path):
+    path = database(tmp_path / "o.db", "CREATE TABLE o (t TEXT)", page_size=512, many=[("INSERT INTO o VALUES (?)", [("y" * 3000,)])])
+    data = bytearray(open(path, "rb").read())
+    with Pages(path) as pages:
+        root = next(r for n, r, *_ in master(pages) if n == "o")
+        last = max(n for n in range(2, pages.count + 1) if n != root and data[(n - 1) * 512 : (n - 1) * 512 + 4] == bytes(4))
+    data[(last - 1) * 512 + 3] = 2
+    with Pages(bytes(data)) as pages, pytest.raises(FileFormatError, match="chain"):
+        list(pages.rows(root))
+
+
+def test_written_files_are_databases(spark, tmp_path):
+    draw = random.Random(2)
+    for page_size in (512, 4096, 65536):
+        for n in (0, 1, 40, 6000):
+            rows = [(k * 3 - 100, draw.choice([None, -5, 2**50, 1.25, "é" * draw.randint(0, 9), b"z" * draw.choice([3, 700, 70_000 if n < 100 else 5])])) for k in range(n)]
+            file = FileWriter(page_size)
+            file.table("t", "CREATE TABLE t (v)", ((i, [v]) for i, v in rows))
+            for extra in range(30):
+                file.table(f"e{extra}", f"CREATE TABLE e{extra} (a, b)", [])
+            (tmp_path / "w.db").write_bytes(file.finish())
+            with closing(sqlite3.connect(tmp_path / "w.db")) as db:
+                assert db.execute("PRAGMA integrity_check").fetchall() == [("ok",)]
+                assert db.execute("SELECT rowid, v FROM t").fetchall() == rows and db.execute("SELECT count(*) FROM sqlite_master").fetchone() == (31,)
+            with Pages(str(tmp_path / "w.db")) as pages:
+                assert [(i, v[0]) for i, v in pages.rows(dict((n, r) for n, r, *_ in master(pages))["t"])] == rows
+    with pytest.raises(FileFormatError):
+        FileWriter().table("t", "CREATE TABLE t (v)", [(2, [1]), (1, [1])])
+
+
+def test_sink_and_pushdown(spark, tmp_path):
+    spark.dataSource.register(SqliteFileSource)
+    path = str(tmp_path / "out")
+    rows = spark.range(0, 5000, 1, 4).selectExpr("id * 2 AS id", "concat('name ', id) AS name", "id / 4 AS score", "cast(NULL AS int) AS none")
+    for mode in ("append", "overwrite"):
+        rows.write.format("sqlite_file").mode(mode).options(path=path, table="t", rowid="id", page_size=512).save()
+    engine = Engine(spark).open_file(path)
+    whole = engine.catalog.table("t").rdd.getNumPartitions()
+    assert engine.execute("SELECT * FROM t").count() == 5000
+    for where, want in (("id = 70", {70}), ("id > 99.5 AND 104 >= id", {100, 102, 104}), ("id = 3.5", set()), ("id < 3 AND name != 'name 1'", {0}), ("id <= 2 OR id = 9000", {0, 2, 9000})):
+        df = engine.execute(f"SELECT id FROM t WHERE {where}")
+        assert {r.id for r in df.collect()} == want
+        assert " OR " in where or df.rdd.getNumPartitions() < whole / 4
+    assert engine.catalog.registered["t"].frame(parse("SELECT score FROM t WHERE none = 1")).columns == ["score", "none"]
+    pushed = engine.catalog.table("t").where("id = 8000")
+    assert pushed.count() == 1 and pushed.rdd.getNumPartitions() < whole / 4
+    down = spark.read.format("sqlite_file").options(path=path, table="t", order="desc").load()
+    assert [r.id for r in down.select("id").collect()] == list(range(9998, -1, -2))
+    with pytest.raises(Exception, match="binary"):
+        spark.range(1).selectExpr("array(id) AS a").write.format("sqlite_file").mode("append").options(path=path, table="u").save()
