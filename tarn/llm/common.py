@@ -13,6 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of two longs or fewer that may be broadcast: some 20 MB.
+BROADCAST_ROWS = 500_000
+
 _created: list[tuple[SparkSession, str]] = []
 
 
@@ -51,6 +54,19 @@ def discard(*cuts: DataFrame) -> None:
         _delete(df.sparkSession, df.cut_path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number for each row in the column ``name``, written so that a row keeps it."""
+    return cut(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def without(rows: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """``rows`` as ``numbered`` wrote them but for those whose numbers ``gone`` holds. Up to BROADCAST_ROWS numbers go to the rows,
+    by their count; beyond that both are merged by number."""
+    gone = cut(gone.select(F.col(gone.columns[0]).alias(name)), "gone")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("merge")
+    return rows.join(few, name, "left_anti").drop(name)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

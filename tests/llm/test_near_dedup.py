@@ -80,3 +80,42 @@ def test_signature_estimates_similarity():
     assert abs(close - 900 / 1100) < 0.15
     both = near_dedup.overlaps([base, other, base[:10]])
     assert (both[0, 1], both[0, 2], both[1, 2], both[2, 0]) == (900, 10, 10, 10)
+
+
+def test_a_large_group_of_near_copies_costs_its_size(spark, prose, monkeypatch):
+    draw = random.Random(9)
+    base = prose(400).split()
+    texts = set()
+    while len(texts) < 5000:
+        copy = list(base)
+        for _ in range(draw.randint(1, 3)):
+            copy[draw.randrange(len(copy))] = f"w{draw.randrange(10**6)}"
+        texts.add(" ".join(copy))
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(sorted(texts))]).repartition(4)
+    seen = {}
+    for name in ("_led", "_open_tiles"):
+        monkeypatch.setattr(near_dedup, name, lambda *a, own=getattr(near_dedup, name), name=name: seen.setdefault(name, own(*a)))
+    counted = {}
+    monkeypatch.setattr(near_dedup, "discard", lambda *a: counted.update({n: df.count() for n, df in seen.items()}))
+    got = near_dedup.near_classes(docs)
+    assert got.where("component_id = 0").count() == 5000
+    assert counted["_led"] < 5 * 5000 and counted["_open_tiles"] == 0
+
+
+def test_distances_to_a_leader():
+    a, b, c = (np.array(x, np.uint64) for x in ([1, 2, 3, 9], [2, 3, 4], [10, 11]))
+    both, union = near_dedup.distances(a, [b, c, a])
+    assert both.tolist() == [2, 0, 4] and union.tolist() == [5, 6, 4]
+
+
+def test_rings_keep_every_link(spark, prose):
+    """Chains of edits: neighbours are linked, ends are far from their leader."""
+    draw, rows = random.Random(10), []
+    for g in range(6):
+        words = prose(120).split()
+        for _ in range(25):
+            for _ in range(2):
+                words[draw.randrange(len(words))] = f"v{draw.randrange(10**6)}"
+            rows.append((draw.randrange(10**6), " ".join(words), "en", "a"))
+    got = near_dedup.near_classes(documents(spark, rows)).collect()
+    assert sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(rows)
