@@ -7,6 +7,7 @@ import operator
 
 from ..errors import AnalysisError
 from ..functions.classes import StorageClass as C
+from ..functions.host import order_key
 from . import tree
 
 _INT = range(-(2**63), 2**63)
@@ -17,13 +18,6 @@ def class_of(value) -> C:
     return C.INT if isinstance(value, int) else C.FLOAT if isinstance(value, float) else C.TEXT
 
 
-def order_key(value):
-    """A key by which values of all classes compare; Python compares integers and floats exactly."""
-    if isinstance(value, float) and math.isnan(value):
-        return (1, 1, 0)
-    return (1, 0, value) if isinstance(value, (int, float)) else (2, 0, value.encode())
-
-
 def truth(value) -> bool:
     return True if isinstance(value, str) else value != 0
 

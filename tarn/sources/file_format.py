@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 from ..errors import FileFormatError
+from ..functions.host import order_key
 
 MAGIC = b"SQLite format 3\x00"
 # Kinds of pages.
@@ -128,15 +129,6 @@ def encode_record(values: Iterable) -> bytes:
     return b"".join([encode_varint(wide), head, *body])
 
 
-def order(value) -> tuple:
-    """A key by which values of all classes compare: NULL, numbers, text by bytes, blobs."""
-    if value is None:
-        return (0, 0)
-    if isinstance(value, (int, float)):
-        return (1, value)
-    return (2, value.encode()) if isinstance(value, str) else (3, bytes(value))
-
-
 @dataclass(frozen=True)
 class Header:
     page_size: int
@@ -349,13 +341,13 @@ class Pages:
         if depth > MAX_DEPTH:
             raise FileFormatError("a tree that contains itself")
         page = self.parse(root, index=True)
-        key = lambda k, n: tuple(map(order, self._entry(page, k)[:n]))
+        key = lambda k, n: tuple(map(order_key, self._entry(page, k)[:n]))
         numbers = range(len(page.places))
         first = 0
         if low is not None:
-            least = tuple(map(order, low))
+            least = tuple(map(order_key, low))
             first = bisect_left(numbers, least, key=lambda k: key(k, len(least)))
-        most = None if high is None else tuple(map(order, high))
+        most = None if high is None else tuple(map(order_key, high))
         for k in range(first, len(page.places) + 1):
             if page.interior:
                 child = struct.unpack_from(">I", page.data, page.places[k])[0] if k < len(page.places) else page.right
