@@ -72,6 +72,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "null_arith": ("SELECT n_nationkey, r + 1 < 0 AS x, r / 0.5 < 0 AS y FROM nation_nulls", f"SELECT n_nationkey, CAST(r IS NULL AS BIGINT) AS x, CAST(r IS NULL AS BIGINT) AS y FROM ({_NULLS})"),
     "null_not": ("SELECT NOT r AS x, NOT t AS y FROM nation_nulls", f"SELECT CAST(r IS NULL OR r = 0 AS BIGINT) AS x, CAST(t IS NULL AS BIGINT) AS y FROM ({_NULLS})"),
     "null_cross_class": ("SELECT r < t AS x, r = t AS y FROM nation_nulls", f"SELECT CAST(t IS NOT NULL AS BIGINT) AS x, CAST(r IS NULL AND t IS NULL AS BIGINT) AS y FROM ({_NULLS})"),
+    "limit_cuts": ("SELECT l_returnflag, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 2 LIMIT 100", "SELECT l_returnflag, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 2 LIMIT 100"),
     "limit_zero": ("SELECT n_name FROM nation LIMIT 0", "SELECT n_name FROM nation LIMIT 0"),
     "limit_all": ("SELECT n_name FROM nation LIMIT 1000", "SELECT n_name FROM nation"),
     "limit_negative": ("SELECT n_name FROM nation LIMIT -1", "SELECT n_name FROM nation"),
@@ -189,6 +190,7 @@ QUERIES |= {
     "file_range": partial(file_statement, "orders", "o_orderkey", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey > 99.5 AND 2000 >= o_orderkey AND o_custkey != 7"),
     "file_overflow": partial(file_statement, "documents", "doc_id", "SELECT doc_id, text, source FROM documents", page_size=1024),
     "file_columns": partial(file_statement, "orders", "o_orderkey", "SELECT o_totalprice * 2 AS twice FROM orders WHERE o_orderstatus < 'O'"),
+    "file_limit": partial(file_statement, "nation", "n_nationkey", "SELECT n_nationkey, n_name FROM nation LIMIT 3 + 4", parts=1),  # a file reads in order of rowid
     "file_reverse": file_reverse,
     "file_index": file_index,
 }
@@ -204,6 +206,7 @@ ORACLE_SQL |= {
     "file_range": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey BETWEEN 100 AND 2000 AND o_custkey <> 7",
     "file_overflow": "SELECT doc_id, text, source FROM documents",
     "file_columns": "SELECT o_totalprice * 2 AS twice FROM orders WHERE o_orderstatus < 'O'",
+    "file_limit": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 7",
     "file_reverse": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey DESC) AS place FROM nation",
     "file_index": "SELECT n_regionkey::BIGINT AS n_regionkey, n_name, n_nationkey::BIGINT AS n_nationkey, row_number() OVER (ORDER BY n_regionkey, n_name) AS place FROM nation",
     "sqlite_scan": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation WHERE n_regionkey <> 3",
