@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import AnalysisError
 from ..functions import values
@@ -37,6 +38,7 @@ class Compiler:
 
     def __init__(self, df: DataFrame):
         self.columns: dict[str, Typed] = {}
+        self.booleans = {f.name.lower() for f in df.schema.fields if isinstance(f.dataType, T.BooleanType)}
         for f in df.schema.fields:
             self.columns.setdefault(f.name.lower(), Typed(F.col("`" + f.name.replace("`", "``") + "`"), class_of(f.dataType), bare=True))
 
@@ -92,7 +94,8 @@ class Compiler:
             return None
         found, cls = self.compile(left), constants.class_of(right.value)
         if found.cls is cls or (found.cls.numeric and cls.numeric):
-            return values.compare_literal(op, found.col, found.cls, right.value)
+            col = found.col.cast("bigint") if left.name.lower() in self.booleans else found.col
+            return values.compare_literal(op, col, found.cls, right.value)
         return None
 
     def _not(self, expr: tree.Unary) -> Typed:

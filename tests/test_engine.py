@@ -69,6 +69,13 @@ def test_literal_filters(spark, literal, value):
             assert engine.execute(f"SELECT a FROM {table} WHERE {literal} {op} a").count() == sum(holds(op, value, x) for x in rows), (op, table)
 
 
+def test_boolean_columns_are_integers(spark):
+    engine = Engine(spark).register("t", frame(spark, [(True,), (False,), (None,)], "b boolean"))
+    for where, n in (("b = 1", 1), ("b < 1", 2), ("b > 0.5", 1), ("b", 1), ("b != TRUE", 2), ("b + 1 = 2", 1)):
+        assert engine.execute(f"SELECT b FROM t WHERE {where}").count() == n, where
+    assert [tuple(r) for r in engine.execute("SELECT b, b = 1 AS x, b < 0.5 AS y FROM t").collect()] == [(True, 1, 0), (False, 0, 1), (None, 0, 1)]
+
+
 def test_truthiness(spark):
     rows = [(None, None, None, None), (0, 0.0, "", bytearray(b"")), (1, 0.5, "x", bytearray(b"x")), (-1, math.nan, "0", bytearray(b"\x00"))]
     engine = Engine(spark).register("t", frame(spark, rows, "i bigint, f double, t string, b binary"))
