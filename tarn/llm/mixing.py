@@ -21,14 +21,13 @@ from __future__ import annotations
 
 import heapq
 from fractions import Fraction
-from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, numbered
 
 WEIGHTS = (3, 1, 2)
 EPOCHS = Fraction(3, 2)
@@ -137,21 +136,16 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     return dealt.select("row", "doc_id", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
 
 
-def _first_words(text: pd.Series, n: pd.Series) -> pd.Series:
-    import re
-
-    word = re.compile(WORD)
-    out = []
-    for t, k in zip(text, n, strict=True):
-        last = next(islice(word.finditer(t), k - 1, None), None) if k else None
-        out.append(t[: last.end()] if last else t)
-    return pd.Series(out, dtype=object)
+def _first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its n-th word."""
+    through = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*+{WORD}"), F.lit(0))
+    return F.array_join(F.slice(through, F.lit(1), n.cast("int")), "")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The mixture itself: whole copies of the documents, and for a part of one its first words; all columns are kept."""
     own, own_row, own_size, own_taken, part = fresh(docs, "_id", "_row", "_size", "_taken", "_part")
-    docs_in_order = cut(docs.withColumn(own_row, F.monotonically_increasing_id()), "mix-rows")  # written, so that a row keeps its number
+    docs_in_order = numbered(docs, own_row)
     taken = _planned(docs_in_order, id_col, text_col, source_col, seed, own_row).where("taken > 0")
     taken = taken.select(F.col("row").alias(own), F.col("size").alias(own_size), F.col("taken").alias(own_taken))
     rows = docs_in_order.join(taken, F.col(own_row) == F.col(own))
@@ -159,8 +153,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     none, rest = F.expr("cast(array() as array<bigint>)"), F.col(own_taken) % F.col(own_size)
     copies = F.concat(F.when(F.col(own_taken) >= F.col(own_size), whole).otherwise(none), F.when(rest > 0, F.array(rest)).otherwise(none))
     rows = rows.withColumn(part, F.explode(copies))
-    first = F.pandas_udf(_first_words, "string")
-    cut_text = F.when(F.col(part) > 0, first(F.col(text_col), F.col(part))).otherwise(F.col(text_col))
+    cut_text = F.when(F.col(part) > 0, _first_words(F.col(text_col), F.col(part))).otherwise(F.col(text_col))
     rows = rows.withColumn(text_col, cut_text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col(part) > 0, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
