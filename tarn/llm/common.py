@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of two longs or fewer that may be broadcast: some 20 MB.
-BROADCAST_ROWS = 500_000
+from ..sources.scratch import delete, new_path
 
-_created: list[tuple[SparkSession, str]] = []
+#: Rows of a few longs that may be broadcast: some 20 MB.
+BROADCAST_ROWS = 150_000
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,24 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that all executors see: the cluster's ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="tarn-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        atexit.register(shutil.rmtree, base, True)
-    return base.rstrip("/")
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, so that a lost executor costs no earlier work.
 
     The folder goes when it is discarded or the process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarn/{name}-{uuid.uuid4().hex}"
-    _created.append((spark, path))
+    path = new_path(spark, name)
     df.write.mode("error").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
@@ -51,7 +39,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def discard(*cuts: DataFrame) -> None:
     """Delete tables that ``cut`` wrote and that no result reads any more."""
     for df in cuts:
-        _delete(df.sparkSession, df.cut_path)
+        delete(df.sparkSession, df.cut_path)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -67,20 +55,22 @@ def without(rows: DataFrame, name: str, gone: DataFrame) -> DataFrame:
     return rows.join(few, name, "left_anti").drop(name)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow in batches of BATCH_ROWS rows, as rows are whole texts, with the memory of a task given back when it ends."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
+    def whole_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
 
-def _drop_created() -> None:
-    for spark, path in _created:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended already; a shared scratch folder is then the cluster's to clear
-            return
+    return df.mapInArrow(whole_task, schema)
 
 
-atexit.register(_drop_created)
+def give_back() -> None:
+    """Return free memory to the system: workers live on between tasks and would keep the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def pieces(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:

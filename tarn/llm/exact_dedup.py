@@ -22,16 +22,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, fresh, pieces
+from .common import cut, discard, fresh, in_batches, numbered, pieces, without
 
 FIRST_DIGIT = 32
 GROWTH = 16
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 12 << 20
 
-_LOCAL = "rep long, body binary, members array<long>, top long, n long, sha string"
+_LOCAL = "rep long, body binary, members array<long>, rows array<long>, top long, n long, sha string"
 
 
 def radix_groups(texts: list[bytes], start: int = 0, width: int = FIRST_DIGIT) -> list[list[int]]:
@@ -55,9 +55,10 @@ def radix_groups(texts: list[bytes], start: int = 0, width: int = FIRST_DIGIT) -
 
 def _local_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each distinct text of a buffer, with the ids that have it."""
-    schema = pa.schema([("rep", pa.int64()), ("body", pa.binary()), ("members", pa.list_(pa.int64())), ("top", pa.int64()), ("n", pa.int64()), ("sha", pa.string())])
+    schema = pa.schema([("rep", pa.int64()), ("body", pa.binary()), ("members", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())), ("top", pa.int64()), ("n", pa.int64()), ("sha", pa.string())])
     serial = TaskContext.get().partitionId() << 33
     ids: list = []
+    numbers: list = []
     texts: list[bytes] = []
     held = 0
 
@@ -68,17 +69,19 @@ def _local_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             members = [ids[i] for i in group]
             body = texts[group[0]]
             known = [m for m in members if m is not None]
-            rows.append((serial, body, members, max(known) if known else None, len(members), hashlib.sha256(body).hexdigest()))
+            rows.append((serial, body, members, [numbers[i] for i in group], max(known) if known else None, len(members), hashlib.sha256(body).hexdigest()))
             serial += 1
         ids.clear()
+        numbers.clear()
         texts.clear()
         held = 0
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types, strict=True)], schema=schema)
 
     for batch in batches:
         for piece in pieces(batch, 1, FLUSH_BYTES):
-            for i, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+            for i, t, row in zip(*(c.to_pylist() for c in piece.columns), strict=True):
                 ids.append(i)
+                numbers.append(row)
                 texts.append(t or b"")
                 held += len(texts[-1])
                 if held >= FLUSH_BYTES:
@@ -89,9 +92,14 @@ def _local_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
-    local = cut(rows.mapInArrow(_local_classes, _LOCAL), "exact-local")
-    named = cut(local.select("rep", "members", F.col("sha").alias("text_sha256")), "exact-members")
+    return _classes(docs, id_col, text_col, F.lit(None)).drop("row")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, row: Column) -> DataFrame:
+    """The same, with the number of each row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"), row.cast("long").alias("row"))
+    local = cut(in_batches(rows, _local_classes, _LOCAL), "exact-local")
+    named = cut(local.select("rep", "members", "rows", F.col("sha").alias("text_sha256")), "exact-members")
     before = local
     active = local.select("rep", F.lit(-1).cast("long").alias("node"), F.col("body").alias("rest"), F.struct("top", F.col("rep").alias("by")).alias("best"), "n")
     done, width = [], FIRST_DIGIT
@@ -124,13 +132,11 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = named.join(found, "rep")
     out = out.select("*", F.posexplode("members").alias("at", "doc_id"))
     kept = (F.col("rep") == F.col("keep_rep")) & (F.col("at") == first)
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", F.get("rows", F.col("at")).alias("row"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of repeated rows of a kept document one stays."""
-    own, kept_id, kept_sha = fresh(docs, "_sha", "_kept_id", "_kept_sha")
-    kept = exact_classes(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
-    rows = docs.withColumn(own, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    same = rows[id_col].eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_sha))
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, own]).drop(own)
+    (own,) = fresh(docs, "_row")
+    rows = numbered(docs, own)
+    return without(rows, own, _classes(rows, id_col, text_col, F.col(own)).where("not kept").select("row"))

@@ -4,7 +4,8 @@ A first permutation sends every shingle to a slot of a ring; the second gives
 each slot a rank, and coordinate k of a signature is the smallest rank after turning the
 ring by k, so all coordinates of a shingle are one contiguous slice of the
 ranks. Signatures of BANDS bands of ROWS coordinates meet in buckets: two sets
-of similarity 0.85 share no band with probability (1 - 0.85^4)^24, about 2e-8.
+of similarity 0.85 share no band with probability (1 - 0.85^4)^24, about 2e-8. Sets of far more than SLOTS shingles agree in
+most coordinates, so such texts all meet and the exact check tells them apart.
 
 Equal sets are one class before banding (found by partial aggregation, so a large
 group of copies sends a row per task). The smallest class of each bucket
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, discard, fresh, numbered, pieces, without
+from .common import BROADCAST_ROWS, cut, discard, fresh, give_back, in_batches, numbered, pieces, without
 from .components import components
 from .shingles import mix, sets
 
@@ -46,7 +47,7 @@ ROWS = 4
 SLOTS = 1 << 20
 SEED = 10
 BLOCK = 256
-BLOCK_SHINGLES = 4 << 20
+BLOCK_SHINGLES = 1 << 20
 COLUMNS = 8192
 BATCH_BYTES = 1 << 20
 
@@ -142,6 +143,12 @@ def _members(tile: pa.Table) -> dict[int, np.ndarray]:
     return out
 
 
+def _after(members: dict[int, np.ndarray]) -> None:
+    """Give memory back after a task of many shingles."""
+    if sum(map(len, members.values())) > BLOCK_SHINGLES // 8:
+        give_back()
+
+
 def _to_leader(percent: int):
     """Followers' rings around their leader, and whether they are linked to it."""
 
@@ -156,6 +163,7 @@ def _to_leader(percent: int):
             linked = 100 * both >= percent * union
         else:
             ring, linked = np.zeros(0, np.int32), np.zeros(0, bool)
+        _after(members)
         return pa.table({"lead": pa.array([lead] * len(cids), pa.int64()), "cid": pa.array(cids, pa.int64()), "n": pa.array([len(members[c]) for c in cids], pa.int64()), "ring": pa.array(ring), "linked": pa.array(linked)})
 
     return run
@@ -173,6 +181,7 @@ def _verify(percent: int):
         root = local_roots([members[c] for c in cids], percent)
         far = np.flatnonzero(root != np.arange(len(cids)))
         ids = np.array(cids, np.int64)
+        _after(members)
         return pa.table({"u": pa.array(ids[far], pa.int64()), "v": pa.array(ids[root[far]], pa.int64())})
 
     return run
@@ -212,7 +221,7 @@ def _sets(rows: DataFrame, classes: DataFrame, followers: DataFrame) -> DataFram
     wanted = cut(wanted.select("cid", F.col("rep.doc_id").alias("want_id"), F.col("rep.key").alias("want_key")), "near-wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("merge")
     texts = rows.join(few, rows["doc_id"].eqNullSafe(F.col("want_id")) & (F.col("key") == F.col("want_key"))).select("cid", "text")
-    found = cut(texts.mapInArrow(_write_sets, "cid long, shingles binary"), "near-sets")
+    found = cut(in_batches(texts, _write_sets, "cid long, shingles binary"), "near-sets")
     discard(wanted)
     return found
 
@@ -241,7 +250,7 @@ def _open_tiles(led: DataFrame, labels: DataFrame) -> DataFrame:
     placed = cut(placed, "near-placed")
     cells = placed.groupBy("lead", "same", "ring").agg(F.count(F.lit(1)).alias("n"), _blocks().alias("blocks"))
     cells = cells.groupBy("lead").agg(F.collect_list(F.struct("same", "ring", "n", "blocks")).alias("cells"))
-    cells = cells.where(F.exists("cells", lambda c: ~c["same"]))  # at most two cells a ring, and few rings
+    cells = cut(cells.where(F.exists("cells", lambda c: ~c["same"])), "near-cells")  # at most two cells a ring, and few rings
     members = placed.drop("n").join(cells.hint("merge"), "lead")
     mine = F.filter("cells", lambda c: (c["same"] == F.col("same")) & (c["ring"] == F.col("ring")))
     members = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.element_at(mine, 1)["blocks"]))
@@ -259,7 +268,7 @@ def _open_tiles(led: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, percent: int, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"))
-    signed = cut(rows.mapInArrow(_sign, "doc_id long, key long, row long, n_shingles long, digest binary, bands array<long>"), "near-signed")
+    signed = cut(in_batches(rows, _sign, "doc_id long, key long, row long, n_shingles long, digest binary, bands array<long>"), "near-signed")
     classes, followers = _followers(signed)
     found = _sets(rows, classes, followers)
     led = _led(followers, found, percent)

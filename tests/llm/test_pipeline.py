@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tarn.llm import mixing, toxicity
 
-from .conftest import SCHEMA, documents
+from .conftest import EDGES, SCHEMA, documents
 from .test_near_dedup import brute
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -48,6 +48,35 @@ def test_mixing(spark, docs):
     assert {r.doc_id: r.n for r in out} == {r.doc_id: r.taken for r in mixing.plan(documents(spark, docs)).collect() if r.taken}
 
 
+def test_toxic_documents_go_and_clean_ones_stay(spark, prose, tmp_path):
+    draw = random.Random(6)
+    rows, labels = [], []
+    for i in range(600):
+        words = prose(draw.randint(20, 60)).split()
+        toxic = i % 4 == 0
+        for _ in range(3 * toxic):
+            words.insert(draw.randrange(len(words)), draw.choice(["vilex", "Zorgon", "zorgish"]))
+        rows.append((i, " ".join(words), "en", "a"))
+        labels.append((i, 1, int(toxic)))
+    labels = [row for row in labels if row[0] % 3]  # a third has no label
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = STAGES["toxicity"](spark, documents(spark, rows), str(tmp_path))
+    assert out.columns == SCHEMA.names and {r.doc_id for r in out.collect()} == {i for i in range(600) if i % 4}
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, prose, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (4, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = EDGES + EDGES + [(60 + i, prose(30), None, None) for i in range(3)] + [(70, "long " + prose(20_000), "en", "a")]
+    want = {"toxicity": len(rows), "exact dedup": 8, "near dedup": 10, "mixing": None, "sentencepiece": len(rows)}
+    for name, stage in STAGES.items():
+        empty = stage(spark, documents(spark, []), str(tmp_path))
+        assert empty.count() == 0, name
+        got = stage(spark, documents(spark, rows), str(tmp_path)).collect()
+        assert want[name] in (None, len(got)), (name, len(got))
+    copies = {(r.doc_id, r.text) for r in STAGES["exact dedup"](spark, documents(spark, rows), str(tmp_path)).collect()}
+    assert {(i, t) for i, t in copies if i is not None and i < 10} == {(2, ""), (3, " \n\t "), (4, "one"), (5, EDGES[-1][1])}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 def test_whole(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
