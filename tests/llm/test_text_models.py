@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import unicodedata
 from collections import Counter
 from itertools import product
 
@@ -104,3 +106,59 @@ def test_toxicity(spark, prose):
 
 def test_places_in_longer_lower_case():
     assert toxicity._places("İx bad", np.array([2])) == [(3, 6)]  # the first letter makes two characters
+
+
+def plain_grams(text):
+    out = Counter()
+    for w in "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split(" "):
+        p = f"\x01{w}\x01"
+        if w:
+            out.update(g for n in (1, 2, 3) for i in range(len(p) - n + 1) if (g := p[i : i + n]) != "\x01")
+    return out
+
+
+def plain_profile(counted, most):
+    return [g for g, _ in sorted(counted.items(), key=lambda item: (-item[1], [ord(c) for c in item[0]]))[:most]]
+
+
+def test_language_query_against_plain_profiles(spark, prose):
+    draw = random.Random(12)
+    sounds = {"en": "thoraeiouns", "de": "schüeirnßt", "zz": "zażółćgęśl"}
+    rows = [(i, " ".join("".join(draw.choice(sounds[lang]) for _ in range(draw.randint(1, 6))) for _ in range(draw.randint(1, 40))) + draw.choice(["", " 12", " É!"]), lang, "a") for i, lang in enumerate(draw.choices(list(sounds), k=150), 10)]
+    rows += EDGES + [(500, "1 2 3", "en", "a"), (501, "x" * 5000, None, "a")]
+    docs = documents(spark, rows)
+    got = language_id.predict(docs, language_id.learn(docs, F.coalesce(F.col("doc_id") < 100, F.lit(False)))).collect()
+    taught = {}
+    for i, text, lang, _ in rows:
+        if i is not None and i < 100 and lang and text:
+            taught.setdefault(lang, Counter()).update(plain_grams(text))
+    profiles = {lang: plain_profile(c, language_id.PROFILE) for lang, c in sorted(taught.items())}
+    want = Counter()
+    for i, text, *_ in rows:
+        own = plain_profile(plain_grams(text or ""), language_id.PROFILE)
+        far = {lang: sum(abs(k - p.index(g)) if g in p else language_id.PROFILE for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(far, key=far.get) if own else "und"
+        want[i, best, round(1 - far[best] / (language_id.PROFILE * len(own)), 9) if own else 0.0] += 1
+    assert Counter((r.doc_id, r.lang_pred, round(r.score, 9)) for r in got) == want
+
+
+def test_toxic_scores_and_spans_against_enumeration(spark):
+    draw = random.Random(13)
+    arcs = np.array([[0.4, -0.7], [-0.6, 0.9]])
+    weights = {"bad": 2.5, "vile": 1.5, "vile*": 1.0, "good": -1.0, "état": 0.7}
+    field = toxicity.Field(weights, -1.2, arcs, (2.0, -3.0))
+    rows = [(i, draw.choice(["", "1 "]) + " ".join(draw.choice(["bad", "Bad,", "vile", "vilest", "good", "x", "état", "-"]) for _ in range(draw.randint(0, 9))), "en", "a") for i in range(10, 70)] + EDGES
+    got = {(r.doc_id, r.score): list(zip(r.begins, r.ends)) for r in toxicity.tag(documents(spark, rows), field).collect()}
+    assert len(got) >= 60
+    for i, text, *_ in rows:
+        found = list(re.finditer(r"[^\W\d_]+", (text or "").lower()))
+        odds = [-1.2 + sum(weights.get(f, 0) for f in [m.group(), *(m.group()[:k] + "*" for k in (4, 5, 6) if len(m.group()) >= k)]) for m in found]
+        total, one = 0.0, np.zeros(len(found))
+        for states in product((0, 1), repeat=len(found)):
+            w = math.exp(sum(u for u, s in zip(odds, states) if s) + sum(arcs[a, b] for a, b in zip(states, states[1:])))
+            total += w
+            one += w * np.array(states, float)
+        marginal = one / total
+        score = 1 / (1 + math.exp(-(2 * np.sort(marginal)[-toxicity.TOP :].sum() - 3)))
+        near = [spans for (d, s), spans in got.items() if d == i and abs(s - score) < 1e-9]
+        assert near and near[0] == [m.span() for m, p in zip(found, marginal) if p >= 0.5], (i, text)
