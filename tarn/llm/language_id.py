@@ -29,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import in_batches, pieces
+
 PROFILE = 300
 SALTS = 16
 MAX_LANGUAGES = 10_000
 PIECE = 1 << 22
 HELD = 4 << 20
+BATCH_BYTES = 2 << 20
 BITS = 21
 
 
@@ -90,29 +93,30 @@ def ranked(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["lang", "gram", "n"]
-    for batch in batches:
-        by: dict[str, list] = {}
-        held: dict[str, int] = {}
+    by: dict[str, list] = {}
+    held: dict[str, int] = {}
 
-        def out(lang: str, by=by, held=held) -> pa.RecordBatch:
-            grams, n = _summed(*zip(*by.pop(lang), strict=True))
-            held[lang] = 0
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], names)
+    def out(lang: str) -> pa.RecordBatch:
+        grams, n = _summed(*zip(*by.pop(lang), strict=True))
+        held[lang] = 0
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], names)
 
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            grams, n = counts(text)
-            by.setdefault(lang, []).append((grams, n))
-            held[lang] = held.get(lang, 0) + len(grams)
-            if held[lang] > HELD:
-                yield out(lang)
-        for lang in sorted(by):
-            yield out(lang)
+    for batch in batches:
+        for piece in pieces(batch, 1, BATCH_BYTES):
+            for lang, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                grams, n = counts(text)
+                by.setdefault(lang, []).append((grams, n))
+                held[lang] = held.get(lang, 0) + len(grams)
+                if held[lang] > HELD // 4 or sum(held.values()) > HELD:
+                    yield out(lang)
+    for lang in sorted(by):
+        yield out(lang)
 
 
 def learn(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """A profile for each language of the rows where ``train`` holds."""
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sums = rows.mapInArrow(_teach, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = in_batches(rows, _teach, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     salted = sums.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(SALTS)))
     best = salted.withColumn("r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= PROFILE)
     found: dict[str, list] = {}
@@ -147,8 +151,8 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [nearest(t, ready) for t in batch.column(1).to_pylist()]
+            both = [nearest(t, ready) for piece in pieces(batch, 1, BATCH_BYTES) for t in piece.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b[0] for b in both], pa.string()), pa.array([b[1] for b in both], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return in_batches(rows, run, "doc_id long, lang_pred string, score double")

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import in_batches, pieces
 
 SPACE = "▁"
 LETTER = "[A-Za-zÀ-ɏ]"
@@ -294,13 +294,13 @@ def _encoder(path: str):
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, ids, begins and ends (spans in UTF-8 bytes of the text), decoded."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encoder(model_path), "doc_id long, n_tokens long, ids array<int>, begins array<long>, ends array<long>, decoded string")
+    return in_batches(rows, _encoder(model_path), "doc_id long, n_tokens long, ids array<int>, begins array<long>, ends array<long>, decoded string")
 
 
 def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and spans_sha256 of what ``encode`` returns, and the ids if asked for."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_digester(model_path, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string" + ", ids array<int>" * with_ids)
+    return in_batches(rows, _digester(model_path, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def _digester(path: str, with_ids: bool):

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import in_batches, pieces
 
 CACHE = 500_000
 LOOK_BACK = 2
@@ -251,4 +251,4 @@ def recount(docs: DataFrame, vocabulary: str, edits: Callable[[str], list[tuple[
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return in_batches(rows, run, ", ".join(f"{n} long" for n in names))

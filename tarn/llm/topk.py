@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard
+from .common import cut, discard, in_batches
 
 PIVOTS = 32
 PIVOT_POOL = 512
@@ -336,7 +336,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         pool.setdefault(r.dim, []).append(r.x)
     with np.errstate(over="ignore"):
         pivots = {dim: choose_pivots(np.floor(np.array(v, np.float64) * SCALE)) for dim, v in pool.items() if dim}
-    table = cut(rows.mapInArrow(_with_table(pivots), _VECTOR), "topk-table")
+    table = cut(in_batches(rows, _with_table(pivots), _VECTOR), "topk-table")
     discard(rows)
     marks = [i / RINGS for i in range(1, RINGS)]
     rings = cut(table.groupBy("dim", "home").agg(F.least(F.lit(RINGS), F.ceil(F.count(F.lit(1)) / CELL)).alias("rings"), F.percentile_approx("dist", marks, 1000).alias("marks")), "topk-rings")

@@ -3,7 +3,6 @@ import random
 import struct
 import time
 
-import numpy as np
 import pytest
 
 from tarn.llm import sentencepiece_codec, token_counts
