@@ -3,6 +3,12 @@
 A stage takes (spark, docs, sf_dir). All but the last return the columns of
 documents; the last returns doc_id, n_tokens, ids and digests. Documents that repeat in the mixture are
 encoded as often as they repeat.
+
+Defined results, stage by stage: a null text counts as empty in each. Toxicity keeps rows that it has nothing against, also those
+without a text, an id or a label, and repeated rows one by one; without both labels nothing is rejected. Exact dedup keeps one row of
+equal texts (null and empty ones are equal), the largest id, one of repeated rows. Near dedup keeps one row of each component; rows without words
+stay, one of each id and text. Mixing drops what the plan does not take, so rows without words, and makes a null source a source of its own. Encoding
+returns a row for each that it gets. Texts of any length are read whole; empty tables give empty results; further columns are kept up to mixing.
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tarn.llm import exact_dedup, mixing, near_dedup, sentencepiece_codec, toxicity
 from tarn.llm.common import cut, held_out, table
 from tarn.llm.queries import piece_model
+from tarn.sources.scratch import mark, release
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +61,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     docs = table(spark, sf_dir, "documents")
+    since = mark()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = cut(docs, name.replace(" ", "-"))
+            release(since, docs.cut_path)  # what the stage wrote on its way, and the result before it
     return docs
