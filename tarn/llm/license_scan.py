@@ -12,10 +12,11 @@ CONTAINED of their shingles.
 A share that must stand may be higher than CONTAINED, by template: lines and notices that
 differ in a version number only must stand whole. A window that lacks at most m shingles of
 a template holds one of any m + 1 of them, so windows without one of these anchors cannot match and are not
-signed. A template shorter than WIDTH words is one shingle of all its words and is
-looked up at that width. Templates are a table of bounded size (MAX_SHINGLES shingles
-in all, else an error), so they are broadcast. Several templates may share a name,
-which is then found once, where most of a template stands.
+signed. Anchors are found by a join on shingles; a bit table of at most MAX_BITS bits, a constant of the plan, keeps most other
+shingles out of that join, and it only saves work. Templates are a written table of any size: what is
+joined with texts is broadcast up to BROADCAST_ROWS rows, by their count, and merged beyond. A template shorter than WIDTH words is one
+shingle of all its words and is looked up at that width, from the plan. Several templates may share a name,
+which is then found once, where most of a template stands: from the first to the last of its shingles in the window.
 
 Defined results: null and empty texts hold no license;
 rows that repeat an id are rows of their own; empty tables give empty results. Other columns are not read.
@@ -27,15 +28,15 @@ import json
 import pkgutil
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BROADCAST_ROWS, cut, discard
 
 WIDTH = 5
 CONTAINED = 0.8
 BANDS = 64
-MAX_SHINGLES = 20_000
+MIN_BITS, MAX_BITS = 1 << 16, 1 << 24
 WORD = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 
 # Statements and notices of public licenses, by name.
@@ -109,22 +110,45 @@ def signature(window: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.array_min(F.transform(window, lambda x: F.xxhash64(x, j))))
 
 
-def template_table(spark, templates: list[tuple[str, str, float]]) -> tuple[DataFrame, dict[int, list[int]], dict[int, dict[int, list[str]]]]:
-    """(name, need, share of it that must stand, size class, signature) of the templates, the anchors of each class, and by width and hash the names of short ones."""
-    rows = spark.createDataFrame(templates, "name string, body string, least double").select("name", "least", F.size(words(F.col("body"))).alias("n"), F.array_distinct(shingles(F.col("body"))).alias("need")).where("n > 0").collect()
-    if len({h for r in rows for h in r.need}) > MAX_SHINGLES:
-        raise ValueError(f"templates of more than {MAX_SHINGLES} shingles")
-    held, anchors, short = [], {}, {}
-    for r in rows:
-        if r.n < WIDTH:
-            names = short.setdefault(r.n, {}).setdefault(r.need[0], [])
-            names.extend({r.name} - {*names})
-            continue
-        wide = 1 << (len(r.need) - 1).bit_length()
-        held.append((r.name, r.need, r.least, wide))
-        anchors.setdefault(wide, set()).update(sorted(r.need)[: int((1 - r.least) * len(r.need) + 1e-6) + 1])
-    table = spark.createDataFrame(held, "name string, need array<long>, share double, wide int").withColumn("signature", signature(F.col("need")))
-    return table, {w: sorted(anchors[w]) for w in sorted(anchors)}, short
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A table for a join: broadcast if it has few rows, else merged."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
+def template_table(spark: SparkSession, templates: list[tuple[str, str, float]]) -> tuple[DataFrame, dict[int, dict[int, list[str]]]]:
+    """(tid, name, need, share of it that must stand, size class, anchors) of the templates, written; and by width and hash the names of short ones."""
+    rows = spark.createDataFrame(templates, "name string, body string, share double")
+    rows = rows.select("name", "share", F.size(words(F.col("body"))).alias("n"), F.array_distinct(shingles(F.col("body"))).alias("need")).where("n > 0")
+    short: dict[int, dict[int, list[str]]] = {}
+    for r in rows.where(F.col("n") < WIDTH).toLocalIterator():
+        names = short.setdefault(r.n, {}).setdefault(r.need[0], [])
+        names.extend({r.name} - {*names})
+    held = rows.where(F.col("n") >= WIDTH)
+    wide = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("need")) - 1e-9)).cast("int")
+    may_lack = F.floor((1 - F.col("share")) * F.size("need") + 1e-6).cast("int")
+    held = held.select(F.monotonically_increasing_id().alias("tid"), "name", "need", "share", wide.alias("wide"), F.slice(F.array_sort("need"), F.lit(1), may_lack + 1).alias("anchors"))
+    return cut(held, "license-templates"), short
+
+
+def _probes(h: Column, bits: int) -> list[Column]:
+    return [h.bitwiseAND(F.lit(bits - 1).cast("long")), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1).cast("long"))]
+
+
+def _bit_table(anchors: DataFrame, rows: int):
+    """Whether a shingle may be an anchor: two bits of a table of some 32 bits an anchor, as far as MAX_BITS go."""
+    bits = max(MIN_BITS, min(MAX_BITS, 1 << (32 * rows).bit_length()))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    places = anchors.select(F.explode(F.array(*_probes(F.col("h"), bits))).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(one).alias("held"))
+    table = [0] * (bits // 64)  # at most MAX_BITS / 64 longs
+    for r in places.toLocalIterator():
+        table[r["at"]] = r.held
+    held = _longs(table)
+
+    def may_be(h: Column) -> Column:
+        tests = [F.call_function("shiftright", F.get(held, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63).cast("long")).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1 for p in _probes(h, bits)]
+        return tests[0] & tests[1]
+
+    return may_be
 
 
 def _short(found: Column, known: dict[int, dict[int, list[str]]]) -> Column:
@@ -153,29 +177,39 @@ def scan(docs: DataFrame, templates: dict[str, str] | list[tuple[str, str, float
     ``templates`` are bodies by name, of which CONTAINED must stand, or rows (name, body, share that must stand, at least CONTAINED); TEMPLATES if not given.
     """
     templates = TEMPLATES if templates is None else templates
-    table, anchors, known = template_table(docs.sparkSession, [(k, v, CONTAINED) for k, v in templates.items()] if isinstance(templates, dict) else list(templates))
-    every = _longs(sorted({h for a in anchors.values() for h in a}))
+    spark = docs.sparkSession
+    held, known = template_table(spark, [(k, v, CONTAINED) for k, v in templates.items()] if isinstance(templates, dict) else list(templates))
+    anchors = cut(held.select("wide", F.explode("anchors").alias("h")).distinct(), "license-anchors")
+    n_anchors = anchors.count()
+    n_held, n_need = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("need")), F.lit(0))).first()
+    may_be = _bit_table(anchors, n_anchors)
     both = F.transform(F.array(words(F.col(text_col))), lambda w: F.struct(runs(w, WIDTH).alias("s"), _short(w, known).alias("short")))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.element_at(both, 1).alias("b")).select("doc_id", "b.*")
-    own = own.select("doc_id", "short", "s", F.array_intersect("s", every).alias("hits"))
-    held = F.when(F.size("hits") > 0, F.col("s"))
-    rows = cut(own.select("doc_id", "short", held.alias("s"), "hits", F.monotonically_increasing_id().alias("row")), "license-rows")
-    near = rows.where("s is not null").select("row", "s", *[F.array_intersect("hits", _longs(a)).alias(f"hits_{w}") for w, a in anchors.items()])
-    none = F.expr("cast(array() as array<struct<wide:int,begin:int,window:array<bigint>>>)")
-
-    def windows_of(w: int) -> Column:
-        every_one = F.transform(F.sequence(F.lit(0), F.floor((F.size("s") - 1) / w).cast("int")), _window(w))
-        return F.when(F.size(f"hits_{w}") > 0, F.filter(every_one, lambda x: F.arrays_overlap(x["window"], F.col(f"hits_{w}")))).otherwise(none)
-
-    windows = near.select("row", F.explode(F.concat(none, *[windows_of(w) for w in anchors])).alias("w")).select("row", "w.*")
+    own = own.select("doc_id", "short", "s", F.filter("s", may_be).alias("some"))
+    placed = F.filter(F.transform("s", lambda x, i: F.struct(x.alias("h"), i.alias("pos"))), lambda x: may_be(x["h"]))
+    found_some = F.size("some") > 0
+    rows = cut(own.select("doc_id", "short", F.when(found_some, F.col("s")).alias("s"), F.when(found_some, placed).alias("hits"), F.monotonically_increasing_id().alias("row")), "license-rows")
+    hits = rows.where("s is not null").select("row", F.explode("hits").alias("x")).select("row", "x.*").join(_small(anchors, n_anchors), "h")
+    turn = F.floor(F.col("pos") / F.col("wide")).cast("int")
+    windows = hits.select("row", "wide", F.explode(F.array(turn, turn - 1)).alias("k")).where("k >= 0").groupBy("row").agg(F.collect_set(F.struct("wide", "k")).alias("places"))
+    windows = rows.select("row", "s").join(windows.hint("merge"), "row").select("row", "s", F.explode("places").alias("p"))
+    begin = F.col("p.k") * F.col("p.wide")
+    windows = windows.select("row", F.col("p.wide").alias("wide"), begin.alias("begin"), F.slice("s", begin + 1, 2 * F.col("p.wide")).alias("window"))
     # few bytes and much arithmetic: dealt anew, into as many tasks as other shuffles have
-    windows = windows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row", "wide", "begin")
-    signed = windows.select("row", "wide", "begin", "window", F.posexplode(signature(F.col("window"))).alias("band", "least"))
-    bands = F.broadcast(table.select("name", "need", "share", "wide", F.posexplode("signature").alias("band", "least")))
-    retrieved = signed.join(bands, ["wide", "band", "least"]).select("row", "name", "begin", "wide", "share", (F.size(F.array_intersect("window", "need")) / F.size("need")).alias("contained"))
-    exact = retrieved.where(F.col("contained") >= F.col("share")).groupBy("row", "name").agg(F.max(F.struct("contained", (-F.col("begin")).alias("back"), "wide")).alias("best"))
-    match = F.struct("name", (-F.col("best.back")).alias("begin"), (-F.col("best.back") + 2 * F.col("best.wide") + WIDTH - 1).alias("end"), F.col("best.contained").alias("contained"))
+    windows = windows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row", "wide", "begin")
+    windows = cut(windows.select(F.monotonically_increasing_id().alias("wid"), "row", "wide", "begin", "window", signature(F.col("window")).alias("signature")), "license-windows")
+    bands = cut(held.select("tid", "wide", F.posexplode(signature(F.col("need"))).alias("band", "least")), "license-bands")
+    pairs = windows.select("wid", "wide", F.posexplode("signature").alias("band", "least")).join(_small(bands, n_held * BANDS), ["wide", "band", "least"]).select("wid", "tid").distinct()
+    retrieved = windows.drop("signature", "wide").join(pairs.hint("merge"), "wid").join(_small(held.select("tid", "name", "need", "share"), n_need), "tid")
+    shared, back = F.array_intersect("window", "need"), F.reverse("window")
+    first = F.array_position("window", F.get(shared, F.lit(0))) - 1
+    last = F.size("window") - F.array_position(back, F.get(F.array_intersect(back, F.col("need")), F.lit(0)))
+    retrieved = retrieved.withColumn("contained", F.size(shared) / F.size("need")).where(F.col("contained") >= F.col("share"))
+    retrieved = retrieved.select("row", "name", "contained", (F.col("begin") + first).cast("int").alias("begin"), (F.col("begin") + last + WIDTH).cast("int").alias("end"))
+    exact = retrieved.groupBy("row", "name").agg(F.max(F.struct("contained", (-F.col("begin")).alias("back"), "end")).alias("best"))
+    match = F.struct("name", (-F.col("best.back")).alias("begin"), F.col("best.end").alias("end"), F.col("best.contained").alias("contained"))
     found = cut(exact.groupBy("row").agg(F.collect_list(match).alias("long")), "license-found")
+    discard(windows, bands, anchors, held)
     out = rows.select("row", "doc_id", "short").join(found.hint("merge"), "row", "left")
     # a name of the short templates that a longer one of that name was found by already, or that was found before, counts once
     more = F.coalesce("long", F.expr("cast(array() as array<struct<name:string,begin:int,end:int,contained:double>>)"))
@@ -183,8 +217,3 @@ def scan(docs: DataFrame, templates: dict[str, str] | list[tuple[str, str, float
     out = out.select("doc_id", F.sort_array(F.concat(more, new)).alias("found"))
     names = F.transform("found", lambda m: m["name"])
     return out.select("doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join(names, "; ").alias("licenses"), F.when(F.size("found") > 0, F.col("found")).alias("found"))
-
-
-def _window(wide: int):
-    """Window k of a class, from shingle k * wide."""
-    return lambda k: F.struct(F.lit(wide).alias("wide"), (k * wide).alias("begin"), F.slice("s", k * wide + 1, F.lit(2 * wide)).alias("window"))

@@ -1,3 +1,5 @@
+import regex
+
 from tarn.llm import license_scan
 
 from .conftest import documents
@@ -31,16 +33,21 @@ def test_library_statements(spark, prose):
 
 
 def test_every_template_is_found_whole_and_with_changed_words(spark, prose):
-    names, rows = {}, []
+    names, rows, spans = {}, [], {}
     for i, (name, body, share) in enumerate(license_scan.library()):
         names[i] = name
         rows.append((i, f"{prose(7)}\n{body}\n{prose(7)}", "en", "a"))
+        n = len(regex.findall(license_scan.WORD, body.lower()))
+        if n >= license_scan.WIDTH:  # a short one may give way to a longer one of its name
+            spans[i] = (name, 7, 7 + n, 1.0)
         words = body.split()
         if share < 1 and len(words) > 100:  # one word in 100 changed takes at most 5 shingles of 100 away
             names[10_000 + i] = name
             rows.append((10_000 + i, " ".join("changed" if k % 100 == 30 else w for k, w in enumerate(words)), "en", "a"))
-    got = {r.doc_id: r.licenses.split("; ") for r in license_scan.scan(documents(spark, rows), license_scan.library()).collect()}
+    found = license_scan.scan(documents(spark, rows), license_scan.library()).collect()
+    got = {r.doc_id: r.licenses.split("; ") for r in found}
     assert [i for i, name in names.items() if name not in got[i]] == []
+    assert [(r.doc_id, spans[r.doc_id]) for r in found if r.doc_id in spans and spans[r.doc_id] not in {tuple(f) for f in r.found}] == []
 
 
 def test_short_templates_that_share_words(spark):
