@@ -12,8 +12,8 @@ CONTAINED of their shingles.
 A share that must stand may be higher than CONTAINED, by template: lines and notices that
 differ in a version number only must stand whole. A window that lacks at most m shingles of
 a template holds one of any m + 1 of them, so windows without one of these anchors cannot match and are not
-signed. Anchors are found by a join on shingles; a bit table of at most MAX_BITS bits, a constant of the plan, keeps most other
-shingles out of that join, and it only saves work. Templates are a written table of any size: what is
+signed. Anchors are told by bit tables, one for each class, constants of the plan of at most MAX_BITS bits: a shingle that they take for
+an anchor by mistake only costs a signature. Templates are a written table of any size: what is
 joined with texts is broadcast up to BROADCAST_ROWS rows, by their count, and merged beyond. A template shorter than WIDTH words is one
 shingle of all its words and is looked up at that width, from the plan. Several templates may share a name,
 which is then found once, where most of a template stands: from the first to the last of its shingles in the window.
@@ -36,7 +36,7 @@ from .common import BROADCAST_ROWS, cut, discard
 WIDTH = 5
 CONTAINED = 0.8
 BANDS = 64
-MIN_BITS, MAX_BITS = 1 << 16, 1 << 24
+MIN_BITS, MAX_BITS = 1 << 12, 1 << 24
 WORD = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 
 # Statements and notices of public licenses, by name.
@@ -151,6 +151,18 @@ def _bit_table(anchors: DataFrame, rows: int):
     return may_be
 
 
+def _places(classes: dict[int, object]) -> Column:
+    """The windows (wide, k) of each class that hold one of its anchors, from the column hits."""
+    none = F.expr("cast(array() as array<struct<wide:int,k:int>>)")
+
+    def of(wide: int, may_be) -> Column:
+        own = F.transform(F.filter("hits", lambda x: may_be(x["h"])), lambda x: F.floor(x["pos"] / wide).cast("int"))
+        turns = F.filter(F.array_distinct(F.flatten(F.transform(own, lambda k: F.array(k, k - 1)))), lambda k: k >= 0)
+        return F.transform(turns, lambda k: F.struct(F.lit(wide).alias("wide"), k.alias("k")))
+
+    return F.concat(none, *[of(w, classes[w]) for w in sorted(classes)])
+
+
 def _short(found: Column, known: dict[int, dict[int, list[str]]]) -> Column:
     """Templates of fewer than WIDTH words: (name, begin, end, contained)."""
     none = F.expr("cast(array() as array<struct<name:string,begin:int,end:int,contained:double>>)")
@@ -180,27 +192,26 @@ def scan(docs: DataFrame, templates: dict[str, str] | list[tuple[str, str, float
     spark = docs.sparkSession
     held, known = template_table(spark, [(k, v, CONTAINED) for k, v in templates.items()] if isinstance(templates, dict) else list(templates))
     anchors = cut(held.select("wide", F.explode("anchors").alias("h")).distinct(), "license-anchors")
-    n_anchors = anchors.count()
+    sizes = dict(anchors.groupBy("wide").count().collect())  # classes are powers of two: few rows
     n_held, n_need = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("need")), F.lit(0))).first()
-    may_be = _bit_table(anchors, n_anchors)
+    may_be = _bit_table(anchors, sum(sizes.values()))
+    classes = {w: _bit_table(anchors.where(F.col("wide") == w), n) for w, n in sizes.items()}
     both = F.transform(F.array(words(F.col(text_col))), lambda w: F.struct(runs(w, WIDTH).alias("s"), _short(w, known).alias("short")))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.element_at(both, 1).alias("b")).select("doc_id", "b.*")
     own = own.select("doc_id", "short", "s", F.filter("s", may_be).alias("some"))
     placed = F.filter(F.transform("s", lambda x, i: F.struct(x.alias("h"), i.alias("pos"))), lambda x: may_be(x["h"]))
-    found_some = F.size("some") > 0
-    rows = cut(own.select("doc_id", "short", F.when(found_some, F.col("s")).alias("s"), F.when(found_some, placed).alias("hits"), F.monotonically_increasing_id().alias("row")), "license-rows")
-    hits = rows.where("s is not null").select("row", F.explode("hits").alias("x")).select("row", "x.*").join(_small(anchors, n_anchors), "h")
-    turn = F.floor(F.col("pos") / F.col("wide")).cast("int")
-    windows = hits.select("row", "wide", F.explode(F.array(turn, turn - 1)).alias("k")).where("k >= 0").groupBy("row").agg(F.collect_set(F.struct("wide", "k")).alias("places"))
-    windows = rows.select("row", "s").join(windows.hint("merge"), "row").select("row", "s", F.explode("places").alias("p"))
-    begin = F.col("p.k") * F.col("p.wide")
-    windows = windows.select("row", F.col("p.wide").alias("wide"), begin.alias("begin"), F.slice("s", begin + 1, 2 * F.col("p.wide")).alias("window"))
+    own = own.select("doc_id", "short", "s", F.when(F.size("some") > 0, placed).alias("hits")).select("doc_id", "short", "s", F.when(F.col("hits").isNotNull(), _places(classes)).alias("places"))
+    held_some = F.size("places") > 0
+    rows = cut(own.select("doc_id", "short", F.when(held_some, F.col("s")).alias("s"), F.when(held_some, F.col("places")).alias("places"), F.monotonically_increasing_id().alias("row")), "license-rows")
     # few bytes and much arithmetic: dealt anew, into as many tasks as other shuffles have
-    windows = windows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row", "wide", "begin")
-    windows = cut(windows.select(F.monotonically_increasing_id().alias("wid"), "row", "wide", "begin", "window", signature(F.col("window")).alias("signature")), "license-windows")
+    texts = rows.where("s is not null").select("row", "s", "places").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row")
+    windows = texts.select("row", "s", F.explode("places").alias("p")).select("row", F.col("p.wide").alias("wide"), (F.col("p.k") * F.col("p.wide")).alias("begin"), F.slice("s", F.col("p.k") * F.col("p.wide") + 1, 2 * F.col("p.wide")).alias("window"))
     bands = cut(held.select("tid", "wide", F.posexplode(signature(F.col("need"))).alias("band", "least")), "license-bands")
-    pairs = windows.select("wid", "wide", F.posexplode("signature").alias("band", "least")).join(_small(bands, n_held * BANDS), ["wide", "band", "least"]).select("wid", "tid").distinct()
-    retrieved = windows.drop("signature", "wide").join(pairs.hint("merge"), "wid").join(_small(held.select("tid", "name", "need", "share"), n_need), "tid")
+    signed = windows.select("row", "wide", "begin", F.posexplode(signature(F.col("window"))).alias("band", "least"))
+    pairs = cut(signed.join(_small(bands, n_held * BANDS), ["wide", "band", "least"]).select("row", "begin", "tid").distinct(), "license-pairs")
+    templates_of = _small(held.select("tid", "name", "need", "share", "wide"), n_need)
+    retrieved = rows.where("s is not null").select("row", "s").join(pairs.hint("merge"), "row").join(templates_of, "tid")
+    retrieved = retrieved.withColumn("window", F.slice("s", F.col("begin") + 1, 2 * F.col("wide")))
     shared, back = F.array_intersect("window", "need"), F.reverse("window")
     first = F.array_position("window", F.get(shared, F.lit(0))) - 1
     last = F.size("window") - F.array_position(back, F.get(F.array_intersect(back, F.col("need")), F.lit(0)))
@@ -209,7 +220,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | list[tuple[str, str, float
     exact = retrieved.groupBy("row", "name").agg(F.max(F.struct("contained", (-F.col("begin")).alias("back"), "end")).alias("best"))
     match = F.struct("name", (-F.col("best.back")).alias("begin"), F.col("best.end").alias("end"), F.col("best.contained").alias("contained"))
     found = cut(exact.groupBy("row").agg(F.collect_list(match).alias("long")), "license-found")
-    discard(windows, bands, anchors, held)
+    discard(pairs, bands, anchors, held)
     out = rows.select("row", "doc_id", "short").join(found.hint("merge"), "row", "left")
     # a name of the short templates that a longer one of that name was found by already, or that was found before, counts once
     more = F.coalesce("long", F.expr("cast(array() as array<struct<name:string,begin:int,end:int,contained:double>>)"))
