@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import delete, new_path
+from ..sources.scratch import delete, mark, new_path, release
 
 #: Rows of a few longs that may be broadcast: some 20 MB.
 BROADCAST_ROWS = 150_000
@@ -47,10 +47,13 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return cut(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
-def without(rows: DataFrame, name: str, gone: DataFrame) -> DataFrame:
-    """``rows`` as ``numbered`` wrote them but for those whose numbers ``gone`` holds. Up to BROADCAST_ROWS numbers go to the rows,
+def without(rows: DataFrame, name: str, find: Callable[[], DataFrame]) -> DataFrame:
+    """``rows`` as ``numbered`` wrote them but for those whose numbers the one column that ``find`` makes holds; what it writes on its way is deleted. Up to BROADCAST_ROWS numbers go to the rows,
     by their count; beyond that both are merged by number."""
+    since = mark()
+    gone = find()
     gone = cut(gone.select(F.col(gone.columns[0]).alias(name)), "gone")
+    release(since, gone.cut_path)
     few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("merge")
     return rows.join(few, name, "left_anti").drop(name)
 

@@ -139,4 +139,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that stay, with all their columns; of repeated rows of a kept document one stays."""
     (own,) = fresh(docs, "_row")
     rows = numbered(docs, own)
-    return without(rows, own, _classes(rows, id_col, text_col, F.col(own)).where("not kept").select("row"))
+    return without(rows, own, lambda: _classes(rows, id_col, text_col, F.col(own)).where("not kept").select("row"))

@@ -10,7 +10,7 @@ most coordinates, so such texts all meet and the exact check tells them apart.
 Equal sets are one class before banding (found by partial aggregation, so a large
 group of copies sends a row per task). The smallest class of each bucket
 leads it, and two classes that share a bucket share its leader. Full shingle sets of the classes that share a
-bucket are written once. First every follower is verified against its leader alone, in blocks of BLOCK: work in proportion to the
+bucket are written once. First every follower is verified against its leader alone, in blocks of LEADER_BLOCK: work in proportion to the
 followers, which joins a group of near copies however large. Links are merged into components.
 
 What is left are pairs of two followers of which one is not in its leader's component. The Jaccard distance
@@ -47,6 +47,7 @@ ROWS = 4
 SLOTS = 1 << 20
 SEED = 10
 BLOCK = 256
+LEADER_BLOCK = 64
 BLOCK_SHINGLES = 1 << 20
 COLUMNS = 8192
 BATCH_BYTES = 1 << 20
@@ -228,7 +229,7 @@ def _sets(rows: DataFrame, classes: DataFrame, followers: DataFrame) -> DataFram
 
 def _led(followers: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """(lead, cid, n, ring, linked) of all followers."""
-    groups = cut(followers.groupBy("lead").agg(_blocks().alias("blocks")), "near-groups")
+    groups = cut(followers.groupBy("lead").agg(_blocks(LEADER_BLOCK).alias("blocks")), "near-groups")
     own = followers.join(groups.hint("merge"), "lead").select("lead", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block"), "cid")
     lead = groups.select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("lead").alias("cid"))
     tiles = own.unionByName(lead).join(found.hint("merge"), "cid")
@@ -237,9 +238,9 @@ def _led(followers: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _blocks() -> Column:
+def _blocks(size: int) -> Column:
     """Blocks of a group, by sets and by their shingles."""
-    return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    return F.ceil(F.greatest(F.count(F.lit(1)) / size, F.sum("n") / BLOCK_SHINGLES))
 
 
 def _open_tiles(led: DataFrame, labels: DataFrame) -> DataFrame:
@@ -248,7 +249,7 @@ def _open_tiles(led: DataFrame, labels: DataFrame) -> DataFrame:
     placed = led.join(component.hint("merge"), F.col("cid") == F.col("node"), "left").select("lead", "cid", "n", "ring", F.coalesce("of", "cid").alias("own"))
     placed = placed.join(component.hint("merge"), F.col("lead") == F.col("node"), "left").select("lead", "cid", "n", "ring", (F.col("own") == F.coalesce("of", "lead")).alias("same"))
     placed = cut(placed, "near-placed")
-    cells = placed.groupBy("lead", "same", "ring").agg(F.count(F.lit(1)).alias("n"), _blocks().alias("blocks"))
+    cells = placed.groupBy("lead", "same", "ring").agg(F.count(F.lit(1)).alias("n"), _blocks(BLOCK).alias("blocks"))
     cells = cells.groupBy("lead").agg(F.collect_list(F.struct("same", "ring", "n", "blocks")).alias("cells"))
     cells = cut(cells.where(F.exists("cells", lambda c: ~c["same"])), "near-cells")  # at most two cells a ring, and few rings
     members = placed.drop("n").join(cells.hint("merge"), "lead")
@@ -294,9 +295,14 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     Rows without words are components of their own, one of each id and text."""
     (own,) = fresh(docs, "_row")
     rows = numbered(docs, own)
+    return without(rows, own, lambda: _copies(rows, percent, id_col, text_col, own))
+
+
+def _copies(rows: DataFrame, percent: int, id_col: str, text_col: str, own: str) -> DataFrame:
+    """Numbers of the rows that go."""
     alone = lambda name: F.when(F.col("root").isNull(), F.col(name))
     found = cut(_classes(rows, percent, id_col, text_col, own).select("row", "root", alone("doc_id").alias("own_id"), alone("key").alias("own_key"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "row").alias("place")), "near-found")
     first = found.groupBy("root", "own_id", "own_key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1")
     first = first.select(F.col("root").alias("of"), F.col("own_id").alias("of_id"), F.col("own_key").alias("of_key"), F.col("first.row").alias("stays"))
     group = F.col("root").eqNullSafe(F.col("of")) & F.col("own_id").eqNullSafe(F.col("of_id")) & F.col("own_key").eqNullSafe(F.col("of_key"))
-    return without(rows, own, found.join(first.hint("merge"), group).where("row <> stays").select("row"))
+    return found.join(first.hint("merge"), group).where("row <> stays").select("row")
