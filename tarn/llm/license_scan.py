@@ -120,7 +120,7 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str, float]])
     rows = spark.createDataFrame(templates, "name string, body string, share double")
     rows = rows.select("name", "share", F.size(words(F.col("body"))).alias("n"), F.array_distinct(shingles(F.col("body"))).alias("need")).where("n > 0")
     short: dict[int, dict[int, list[str]]] = {}
-    for r in rows.where(F.col("n") < WIDTH).toLocalIterator():
+    for r in rows.where(F.col("n") < WIDTH).collect():
         names = short.setdefault(r.n, {}).setdefault(r.need[0], [])
         names.extend({r.name} - {*names})
     held = rows.where(F.col("n") >= WIDTH)
@@ -139,8 +139,8 @@ def _bit_table(anchors: DataFrame, rows: int):
     bits = max(MIN_BITS, min(MAX_BITS, 1 << (32 * rows).bit_length()))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63).cast("long")).cast("int"))
     places = anchors.select(F.explode(F.array(*_probes(F.col("h"), bits))).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(one).alias("held"))
-    table = [0] * (bits // 64)  # at most MAX_BITS / 64 longs
-    for r in places.toLocalIterator():
+    table = [0] * (bits // 64)  # at most MAX_BITS / 64 longs, so as many rows are collected
+    for r in places.collect():
         table[r["at"]] = r.held
     held = _longs(table)
 
