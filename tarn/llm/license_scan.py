@@ -27,6 +27,8 @@ from __future__ import annotations
 import json
 import pkgutil
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,7 @@ WIDTH = 5
 CONTAINED = 0.8
 BANDS = 64
 MIN_BITS, MAX_BITS = 1 << 12, 1 << 24
+BITS, PROBES = 64, 6  # bits a table has for an anchor, and bits that an anchor sets: of a million other shingles about one passes
 WORD = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 
 # Statements and notices of public licenses, by name.
@@ -130,23 +133,28 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str, float]])
     return cut(held, "license-templates"), short
 
 
-def _probes(h: Column, bits: int) -> list[Column]:
-    return [h.bitwiseAND(F.lit(bits - 1).cast("long")), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1).cast("long"))]
+def _probes(h: Column, bits: int, probes: int) -> list[Column]:
+    """The places of a hash, from its two halves."""
+    half = (1 << 32) - 1
+    first, step = h.bitwiseAND(F.lit(half).cast("long")), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(half).cast("long"))
+    at = [h] + [first + step * k for k in range(1, probes)]
+    return [x.bitwiseAND(F.lit(bits - 1).cast("long")) for x in at]
 
 
 def _bit_table(anchors: DataFrame, rows: int):
-    """Whether a shingle may be an anchor: two bits of a table of some 32 bits an anchor, as far as MAX_BITS go."""
-    bits = max(MIN_BITS, min(MAX_BITS, 1 << (32 * rows).bit_length()))
+    """Whether a shingle may be an anchor: PROBES bits of a table of BITS an anchor or more, as far as MAX_BITS go, fewer in a table that would fill up."""
+    bits = max(MIN_BITS, min(MAX_BITS, 1 << (BITS * rows).bit_length()))
+    probes = max(1, min(PROBES, 7 * bits // (10 * max(1, rows))))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    places = anchors.select(F.explode(F.array(*_probes(F.col("h"), bits))).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(one).alias("held"))
+    places = anchors.select(F.explode(F.array(*_probes(F.col("h"), bits, probes))).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(one).alias("held"))
     table = [0] * (bits // 64)  # at most MAX_BITS / 64 longs, so as many rows are collected
     for r in places.collect():
         table[r["at"]] = r.held
     held = _longs(table)
 
     def may_be(h: Column) -> Column:
-        tests = [F.call_function("shiftright", F.get(held, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63).cast("long")).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1 for p in _probes(h, bits)]
-        return tests[0] & tests[1]
+        tests = [F.call_function("shiftright", F.get(held, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63).cast("long")).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1 for p in _probes(h, bits, probes)]
+        return reduce(and_, tests)
 
     return may_be
 

@@ -1,4 +1,5 @@
 import regex
+from pyspark.sql import functions as F
 
 from tarn.llm import license_scan
 
@@ -64,3 +65,19 @@ def test_versions_are_told_apart(spark):
     for i in (2, 3):
         assert f"GPL-{i}.0-or-later notice" in got[10 + i] and f"GPL-{5 - i}.0-or-later notice" not in got[10 + i]
     assert "LGPL-2.1 text" in got[21] and "LGPL-2.0 text" not in got[21]
+
+
+def test_bit_tables_pass_every_anchor_and_hardly_anything_else(spark):
+    anchors = spark.range(1000).select(F.xxhash64("id").alias("h"))
+    may_be = license_scan._bit_table(anchors, 1000)
+    assert anchors.where(may_be(F.col("h"))).count() == 1000
+    assert spark.range(1000, 1_001_000).select(F.xxhash64("id").alias("h")).where(may_be(F.col("h"))).count() < 20
+
+
+def test_long_texts_without_licenses_are_not_signed(spark, prose, monkeypatch):
+    written = {}
+    monkeypatch.setattr(license_scan, "cut", lambda df, name, real=license_scan.cut: written.setdefault(name, real(df, name)))
+    rows = [(i, " ".join(f"{w}{i}" for w in prose(5000).split()), "en", "a") for i in range(40)] + [(100, f"{prose(9)} {license_scan.TEMPLATES['MIT grant']}", "en", "a")]
+    got = license_scan.scan(documents(spark, rows), license_scan.library())
+    assert [r.doc_id for r in got.where("n_licenses > 0").collect()] == [100]
+    assert [r.doc_id for r in written["license-rows"].where("s is not null").collect()] == [100]
